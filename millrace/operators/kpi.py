@@ -109,11 +109,15 @@ def additional_metrics(prod: DataFrame, days: int = 7, as_of: AsOf = None) -> Da
         F.lit(days).alias("days_analyzed"))
 
 
-def insight_kpis(prod: DataFrame, days: int = 7, as_of: AsOf = None,
+def insight_kpis(prod: DataFrame, days: int | None = 7, as_of: AsOf = None,
                  group_cols: list[str] | None = None) -> DataFrame:
-    """A7 KPI input of the insight route: int totals, unrounded yield."""
+    """A7 KPI input of the insight route: int totals, unrounded yield.
+
+    ``days=None`` aggregates the frame as given (no window).
+    """
     group_cols = group_cols or []
-    agg = trailing_window(prod, days, as_of).groupBy(*group_cols).agg(
+    src = prod if days is None else trailing_window(prod, days, as_of)
+    agg = src.groupBy(*group_cols).agg(
         F.sum("units_produced").alias("su"), F.sum("defective_units").alias("sd"),
         F.avg("downtime_min").alias("ad"))
     tu = _python_int_or_zero(F.col("su"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, forecast, ml, windows
 from ..operators.common import last_day, trailing_window
 from ..sources.fixtures import ORDER_COLS
-from ..session import ensure_checkpoint_dir
 from .catalog import query
 
 P = ("production",)
@@ -127,43 +126,21 @@ def m12_anomaly_timeline(fx):
 # ---------------------------------------------------------------- M4-M6, O5, M13/M14
 def _ml_analysis(fx):
     """M14 the single-plant ML route over the trailing 30 days."""
-    spark = fx.spark
+    from .report import ml_analysis
     win = trailing_window(fx.production, ML_DAYS, last_day(fx.production))
-    f = ml.features(win.select(*KEYS, "production_date", "machine_id", "units_produced",
-                               "defective_units", "downtime_min")
-                    .withColumn("plant", F.lit("ALL")), ["plant"], ORDER_COLS)
-    f = ml.hash_split(f, KEYS)
-    z = ml.standardize(f, FEATS, fit_on=f.filter("is_train"))
-    zc = [f"{c}_z" for c in FEATS]
-    ensure_checkpoint_dir(spark)
-    z = z.checkpoint()            # cut lineage before several model passes
-    ens = ml.train_ensemble(z.filter("is_train"), zc, test=z.filter(~F.col("is_train")))
-    flags = anomaly.detect_anomalies(z, zc, KEYS, group=["plant"])
-    n_anom = flags.agg(F.count_if("is_anomaly").alias("n")).first()["n"]
-    # next-shift scenario from the last observed row, scaled like the rest
-    last = ml.what_if(windows.last_n(f, ["plant"], ORDER_COLS, 1))
-    last_z = ml.standardize(last, FEATS, fit_on=f.filter("is_train"))
-    pred = ml.predict(ens, last_z)
-    rate = win.agg(F.try_divide(F.sum("defective_units"), F.sum("units_produced")).alias("dr"))
-    imp = F.create_map(*[x for k, v in sorted(ens.importances.items())
-                         for x in (F.lit(k), F.lit(v))])
-    dr = rate.select("dr").scalar()
-    return ens, (pred.withColumn("dr", dr)
-                 .select(ml.insight_record(F.col("ensemble_pred"), F.col("agreement"),
-                                           F.lit(n_anom), imp, F.col("dr")).alias("r"),
-                         F.lit(ens.rf_r2).alias("rf_r2"), F.lit(ens.gb_r2).alias("gb_r2"))
-                 .select("r.*", "rf_r2", "gb_r2"))
+    rows = win.select(*KEYS, "production_date", "machine_id", "units_produced",
+                      "defective_units", "downtime_min")
+    return ml_analysis(rows, KEYS, ORDER_COLS)
 
 
 @query("m14_ml_analysis")
 def m14_ml_analysis(fx):
-    return _ml_analysis(fx)[1]
+    return _ml_analysis(fx).record
 
 
 @query("m6_o5_top_importances")
 def m6_o5_top_importances(fx):
-    ens, _ = _ml_analysis(fx)
-    return ml.importances_frame(fx.spark, ens, top=6)
+    return ml.importances_frame(fx.spark, _ml_analysis(fx).ensemble, top=6)
 
 
 # ---------------------------------------------------------------- forecasts
@@ -311,3 +288,13 @@ def a13_forecast_rollup(fx):
 @query("m23_forecast_all")
 def m23_forecast_all(fx):
     return forecast.forecast_all(fx.production, SERIES)
+
+
+# ---------------------------------------------------------------- C3
+@query("c3_insight_bundle")
+def c3_insight_bundle(fx):
+    from .report import insight_bundle, tenant_predictions
+    p = fx.production
+    anomalies = p.groupBy("tenant_id").agg(
+        F.count_if(F.col("downtime_min") >= 78).alias("anomalies_detected"))
+    return insight_bundle(p, tenant_predictions(p), anomalies)
