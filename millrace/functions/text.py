@@ -28,15 +28,13 @@ NON_LATIN1 = "[^\\x{0}-\\x{FF}]"
 def py_fixed(x: Column, digits: int) -> Column:
     """Python ``f"{x:.{digits}f}"`` for a double.
 
-    Java's formatter rounds exact binary ties half-up, Python half-to-even.
-    Exact ties at ``digits`` decimals are the values where x * 2^(digits+1)
-    is an odd integer; only those are pre-rounded half-even (``bround``),
-    which is exact for them.
+    Python rounds the exact binary value half-to-even. Java's ``%.nf``
+    (``format_string``) rounds the shortest decimal repr half-up instead
+    (0.15 -> "0.2" vs Python "0.1"); ``format_number`` (DecimalFormat,
+    HALF_EVEN on the exact value) agrees with Python, so it is used with its
+    grouping separators removed.
     """
-    scaled = x * F.lit(float(2 ** (digits + 1)))
-    is_tie = (scaled == F.floor(scaled)) & (F.pmod(F.floor(scaled), F.lit(2)) == 1)
-    v = F.when(is_tie, F.bround(x, digits)).otherwise(x)
-    return F.format_string(f"%.{digits}f", v)
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
 
 
 def minutes_text(x: Column) -> Column:

@@ -37,7 +37,7 @@ def read_submit_records(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     typed = raw.withColumn("production_date",
-                           F.try_to_date(F.col("production_date"), F.lit("yyyy-MM-dd")))
+                           F.try_to_date(F.col("production_date"), "yyyy-MM-dd"))
     ok = F.col("_corrupt_record").isNull() & F.col("production_date").isNotNull()
     return (typed.filter(ok).drop("_corrupt_record"),
             typed.filter(~ok))
