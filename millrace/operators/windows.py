@@ -29,6 +29,18 @@ def _cols(names):
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def _block_summary(df: DataFrame, series: list[str], block: list[str]) -> DataFrame:
+    """One row per block: global offset and series length, from a partial
+    aggregate of block row counts over the source (no sort of the rows)."""
+    keys = series + block
+    ws = Window.partitionBy(*series).orderBy(*block)
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"))
+            .withColumn("_off", F.coalesce(
+                F.sum("_bn").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_n", F.sum("_bn").over(Window.partitionBy(*series)))
+            .select(*keys, "_off", "_n"))
+
+
 def with_history(df: DataFrame, series: list[str], order: list[str], values: list[str],
                  k: int, block: list[str] | None = None) -> DataFrame:
     """Add ``<v>_prev`` (up to ``k`` previous values, oldest first) for each
@@ -36,21 +48,22 @@ def with_history(df: DataFrame, series: list[str], order: list[str], values: lis
     (series length).
 
     ``order`` must start with the ``block`` columns (rows of a block are
-    contiguous in series order).
+    contiguous in series order). The block tails are read off the windowed
+    rows (their last ``k`` rows per block); measured faster than a separate
+    top-k group limit over the source, which sorts every row a second time.
     """
     block = list(DEFAULT_BLOCK if block is None else block)
     assert order[:len(block)] == block, "series order must start with the block columns"
-    in_block = order[len(block):]
+    in_block = order[len(block):] or order
     keys = series + block
-    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block or order))
-    wpart = Window.partitionBy(*keys)
+    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
     local = (df
              .withColumn("_rn", F.row_number().over(wb))
              # structs keep null values in place (collect_list drops bare nulls)
              .withColumns({f"_{v}_local": F.transform(
                  F.collect_list(F.struct(F.col(v).alias("x"))).over(wb.rowsBetween(-k, -1)),
                  lambda s: s["x"]) for v in values})
-             .withColumn("_bn", F.count(F.lit(1)).over(wpart)))
+             .withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
 
     # last k rows of every block -> one row per block (bounded arrays)
     tails = (local.filter(F.col("_rn") > F.col("_bn") - k)
@@ -58,20 +71,18 @@ def with_history(df: DataFrame, series: list[str], order: list[str], values: lis
              .agg(F.first("_bn").alias("_bn"),
                   F.array_sort(F.collect_list(F.struct("_rn", *values))).alias("_tail")))
     ws = Window.partitionBy(*series).orderBy(*block)
-    halo = F.flatten(F.collect_list("_tail").over(ws.rowsBetween(-k, -1)))
     summary = (tails
                .withColumn("_off", F.coalesce(
                    F.sum("_bn").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("_n", F.sum("_bn").over(Window.partitionBy(*series)))
-               .withColumn("_halo", halo)
+               .withColumn("_halo", F.flatten(F.collect_list("_tail").over(ws.rowsBetween(-k, -1))))
                .select(*keys, "_off", "_n", "_halo"))
 
     joined = local.join(summary, keys, "inner")
     out = {}
     for v in values:
         loc = F.col(f"_{v}_local")
-        h = F.transform(F.col("_halo"), _field(v))
-        full = F.concat(h, loc)
+        full = F.concat(F.transform(F.col("_halo"), _field(v)), loc)
         size = F.size(full)
         out[f"{v}_prev"] = F.when(F.col("_rn") > k, loc).otherwise(
             F.slice(full, F.greatest(size - k + 1, F.lit(1)), k))
@@ -135,18 +146,13 @@ def positions(df: DataFrame, series: list[str], order: list[str],
     """Global 1-based ``pos`` and series length ``n`` without a series sort."""
     block = list(DEFAULT_BLOCK if block is None else block)
     keys = series + block
-    in_block = order[len(block):]
-    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block or order))
+    in_block = order[len(block):] or order
+    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
     local = df.withColumn("_rn", F.row_number().over(wb))
-    counts = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"))
-    ws = Window.partitionBy(*series).orderBy(*block)
-    summary = (counts
-               .withColumn("_off", F.coalesce(
-                   F.sum("_bn").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .withColumn("n", F.sum("_bn").over(Window.partitionBy(*series)))
-               .drop("_bn"))
+    summary = _block_summary(df, series, block)
     return (local.join(summary, keys, "inner")
-            .withColumn("pos", F.col("_off") + F.col("_rn")).drop("_off", "_rn"))
+            .withColumn("pos", F.col("_off") + F.col("_rn"))
+            .withColumnRenamed("_n", "n").drop("_off", "_rn"))
 
 
 def last_n(df: DataFrame, series: list[str], order: list[str], n: int) -> DataFrame:
