@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly, forecast, ml, windows
 from ..operators.common import last_day, trailing_window
 from ..sources.fixtures import ORDER_COLS
+from ..session import ensure_checkpoint_dir
 from .catalog import query
 
 P = ("production",)
@@ -109,8 +110,17 @@ def m9_m10_ensemble_arith(fx):
 
 # ---------------------------------------------------------------- M11, M12
 def _anomalies(fx):
-    z = ml.standardize(_features(fx), FEATS, group=["tenant_id"])
-    return anomaly.detect_anomalies(z, [f"{c}_z" for c in FEATS], KEYS, group=["tenant_id"])
+    """Per-tenant forests over the scaled features. The feature frame is
+    checkpointed once (scaling reads it twice: statistics and join); only the
+    columns the outputs need travel through the scorer."""
+    ensure_checkpoint_dir(fx.spark)
+    f = _features(fx).select(*KEYS, "tenant_id", "machine_id", "production_date",
+                             "downtime_min", *FEATS).checkpoint()
+    z = ml.standardize(f, FEATS, group=["tenant_id"]).select(
+        *KEYS, "tenant_id", "machine_id", "production_date", "downtime_min",
+        *[f"{c}_z" for c in FEATS])
+    return anomaly.detect_anomalies(z, [f"{c}_z" for c in FEATS], KEYS, group=["tenant_id"],
+                                    checkpoint_input=False)
 
 
 @query("m11_anomaly_flags")
