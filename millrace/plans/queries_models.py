@@ -247,6 +247,11 @@ def m19_trend_weekday_forecast(fx):
     return forecast.trend_forecast(_daily(fx), SERIES)
 
 
+@query("m19b_changepoint_forecast")
+def m19b_changepoint_forecast(fx):
+    return forecast.changepoint_forecast(_daily(fx), SERIES)
+
+
 @query("m20_future_frame", f"""
 WITH {_DAILY.strip()},
 lin AS (SELECT machine_id, max(production_date) AS last_date FROM d GROUP BY machine_id)

@@ -68,3 +68,20 @@ def test_r2_and_ensemble(spark):
     assert abs(r - (1 - ss_res / 2.0)) < 1e-12
     e = ml.ensemble_columns(df, F.col("y"), F.col("p")).first()
     assert abs(e.ensemble_pred - (0.4 * 1.0 + 0.6 * 1.1)) < 1e-12
+
+
+def test_changepoint_model_follows_a_trend_break(spark):
+    start = dt.date(2024, 1, 1)
+    pattern = [1.0, 4.0, 2.0, 3.0, 2.0, 4.0, 1.0]
+    rows = [("A", start + dt.timedelta(days=d),
+             (20.0 + 0.2 * d if d < 60 else 32.0 - 0.1 * (d - 60)) + pattern[d % 7])
+            for d in range(120)]
+    daily = spark.createDataFrame(rows, "machine_id string, production_date date, y double")
+    fc = forecast.changepoint_forecast(daily, ["machine_id"], 7).filter("step > 0") \
+                 .orderBy("step").collect()
+    assert len(fc) == 7
+    for r in fc:
+        d = (r.ds - start).days
+        want = 32.0 - 0.1 * (d - 60) + pattern[d % 7]
+        assert abs(r.yhat - want) < 1.5, (d, r.yhat, want)
+        assert r.lower <= r.yhat <= r.upper
