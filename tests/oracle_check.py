@@ -69,7 +69,7 @@ def duck_rows(con, sql: str):
     return cols, cur.fetchall()
 
 
-def compare(spark_df, con, sql: str, digits: int = 6) -> dict:
+def compare(spark_df, con, sql: str, digits: int = int(os.environ.get("ORACLE_DIGITS", "6"))) -> dict:
     sc, sr = spark_rows(spark_df)
     dc, dr = duck_rows(con, sql)
     scols, srows, sh = canon(sc, sr, digits)
