@@ -103,80 +103,27 @@ def _sum_last(arr: Column, m: int) -> tuple[Column, Column]:
     return s, n
 
 
-def _halo_summary(local: DataFrame, series: list[str], block: list[str], k: int,
-                  values: list[str]) -> DataFrame:
-    """Per block: offset, series length and the halo (values of the last
-    ``k`` rows before the block, oldest first) from the block tails.
-
-    ``local`` carries ``_rn`` and ``_bn``; only those and ``values`` are read,
-    so this branch's window pass is a bare row_number/count after pruning.
-    """
-    keys = series + block
-    tails = (local.filter(F.col("_rn") > F.col("_bn") - k)
-             .groupBy(*keys)
-             .agg(F.first("_bn").alias("_bn"),
-                  F.array_sort(F.collect_list(F.struct("_rn", *values))).alias("_tail")))
-    ws = Window.partitionBy(*series).orderBy(*block)
-    return (tails
-            .withColumn("_off", F.coalesce(
-                F.sum("_bn").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_n", F.sum("_bn").over(Window.partitionBy(*series)))
-            .withColumn("_halo", F.flatten(F.collect_list("_tail").over(ws.rowsBetween(-k, -1))))
-            .select(*keys, "_off", "_n", "_halo"))
-
-
-def _last_of_halo(v: str, count: Column) -> Column:
-    """The last ``count`` values of field ``v`` of the halo (oldest first)."""
-    h = F.transform(F.col("_halo"), _field(v))
-    size = F.size(h)
-    take = F.least(count, size)
-    return F.when(take > 0, F.slice(h, size - take + 1, take)).otherwise(
-        F.slice(h, 1, 0))
-
-
 def trailing_means(df: DataFrame, series: list[str], order: list[str],
                    specs: dict[str, str], window: int,
                    block: list[str] | None = None, min_rows: int | None = None) -> DataFrame:
     """W1/W2 ``rolling(window, min_periods=1).mean()`` per series.
 
-    In-block ``sum``/``count`` frames give the mean for every row whose
-    frame stays inside its block; the first ``window - 1`` rows of a block
-    add the missing values from the halo. ``specs`` maps output column ->
-    value column. With ``min_rows`` a series shorter than that keeps the raw
-    value (the reference's < 5 rows rule).
+    ``specs`` maps output column -> value column. With ``min_rows`` a series
+    shorter than that keeps the raw value (the reference's < 5 rows rule).
+    (Measured against an in-block sum/count formulation with halo patching:
+    the bounded history arrays are faster.)
     """
-    block = list(DEFAULT_BLOCK if block is None else block)
-    assert order[:len(block)] == block, "series order must start with the block columns"
-    in_block = order[len(block):] or order
-    keys = series + block
     values = sorted(set(specs.values()))
-    k = window - 1
-    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
-    frame = wb.rowsBetween(-k, 0)
-    local = (df.withColumn("_rn", F.row_number().over(wb))
-             .withColumns({f"_s_{v}": F.sum(F.col(v).cast("double")).over(frame)
-                           for v in values})
-             .withColumns({f"_c_{v}": F.count(v).over(frame) for v in values})
-             .withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    summary = _halo_summary(local, series, block, k, values)
-    j = local.join(summary, keys, "inner")
+    h = with_history(df, series, order, values, window - 1, block)
     outs = {}
     for out_col, v in specs.items():
-        missing = F.lit(window) - F.col("_rn")           # > 0 only near the block start
-        extra = _last_of_halo(v, missing)
-        s_extra = F.aggregate(extra, F.lit(0.0),
-                              lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
-        c_extra = F.size(F.filter(extra, lambda x: x.isNotNull()))
-        total = F.when(missing > 0, F.coalesce(F.col(f"_s_{v}"), F.lit(0.0)) + s_extra) \
-                 .otherwise(F.col(f"_s_{v}"))
-        cnt = F.when(missing > 0, F.col(f"_c_{v}") + c_extra).otherwise(F.col(f"_c_{v}"))
-        mean = F.try_divide(total, cnt.cast("double"))
+        s, n = _sum_last(F.col(f"{v}_prev"), window - 1)
+        cur = F.col(v).cast("double")
+        mean = (s + F.coalesce(cur, F.lit(0.0))) / (n + F.when(cur.isNull(), 0).otherwise(1))
         if min_rows:
-            mean = F.when(F.col("_n") < min_rows, F.col(v).cast("double")).otherwise(mean)
+            mean = F.when(F.col("_n") < min_rows, cur).otherwise(mean)
         outs[out_col] = mean
-    drop = ["_rn", "_bn", "_off", "_n", "_halo"] + [f"_s_{v}" for v in values] \
-        + [f"_c_{v}" for v in values]
-    return j.withColumns(outs).drop(*drop)
+    return h.withColumns(outs).drop(*[f"{v}_prev" for v in values], "_n", "_pos")
 
 
 def lag_features(df: DataFrame, series: list[str], order: list[str], value: str,
@@ -184,33 +131,17 @@ def lag_features(df: DataFrame, series: list[str], order: list[str], value: str,
                  keep_partial: bool = False) -> DataFrame:
     """W3 supervised sequences: ``lag_1 .. lag_n`` -> ``target`` (= value).
 
-    In-block ``lag`` gives every lag that stays inside the block; the first
-    ``lags`` rows of a block read the rest from the halo. Without
-    ``keep_partial`` only rows with a full history are kept.
+    Without ``keep_partial`` only rows with a full history are kept. (One
+    bounded history array beats ``lags`` separate ``lag`` window functions.)
     """
-    block = list(DEFAULT_BLOCK if block is None else block)
-    assert order[:len(block)] == block, "series order must start with the block columns"
-    in_block = order[len(block):] or order
-    keys = series + block
-    wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
-    local = (df.withColumn("_rn", F.row_number().over(wb))
-             .withColumns({f"_l{j}": F.lag(value, j).over(wb) for j in range(1, lags + 1)})
-             .withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    summary = _halo_summary(local, series, block, lags, [value])
-    j = local.join(summary, keys, "inner")
-    halo = F.transform(F.col("_halo"), _field(value))
-    size = F.size(halo)
-    outs = {}
-    for lag in range(1, lags + 1):
-        back = F.lit(lag) - F.col("_rn") + 1              # position from the halo's end
-        from_halo = F.when(size >= back, F.try_element_at(halo, -back))
-        outs[f"lag_{lag}"] = F.when(F.col("_rn") > lag, F.col(f"_l{lag}")).otherwise(from_halo)
-    outs["seq_pos"] = F.col("_off") + F.col("_rn")
-    out = j.withColumns(outs)
+    h = with_history(df, series, order, [value], lags, block)
+    prev = F.col(f"{value}_prev")
+    out = h.withColumns({f"lag_{j}": F.when(F.size(prev) >= j,
+                                            F.try_element_at(prev, F.lit(-j)))
+                         for j in range(1, lags + 1)})
     if not keep_partial:
-        out = out.filter(F.col("seq_pos") > lags)
-    return out.drop("_rn", "_bn", "_off", "_n", "_halo",
-                    *[f"_l{j}" for j in range(1, lags + 1)])
+        out = out.filter(F.col("_pos") > lags)
+    return out.withColumnRenamed("_pos", "seq_pos").drop(f"{value}_prev", "_n")
 
 
 def positions(df: DataFrame, series: list[str], order: list[str],
