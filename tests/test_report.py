@@ -22,3 +22,18 @@ def test_run_report(spark, fx, tmp_dir):
     fc = spark.read.parquet(paths["forecast"])
     assert fc.filter(F.col("model") == "ensemble").count() in (0, 7)
     assert spark.read.parquet(paths["chart_insights"]).count() == 5
+
+
+def test_insight_bundle_content(spark, fx):
+    import json
+
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    rows = entry.queries()["c3_insight_bundle"](spark, SF_SMALL).collect()
+    assert len(rows) == fx.production.select("tenant_id").distinct().count()
+    for r in rows:
+        assert r.full_analysis.startswith("AUTOMATED INSIGHTS")
+        assert r.sections["summary"] == r.full_analysis
+        ctx = json.loads(r.context_json)
+        assert ctx["kpi_summary"]["total_units"] == r.total_units
+        assert r.risk_level in {"Low", "Medium", "High", "Critical"}
