@@ -36,6 +36,9 @@ LABEL = "downtime_min"
 RF_PARAMS = dict(numTrees=100, maxDepth=10, seed=42, featureSubsetStrategy="all")
 GB_PARAMS = dict(maxIter=100, maxDepth=6, stepSize=0.1, seed=42)
 ENSEMBLE_WEIGHTS = (0.4, 0.6)
+# execution-only settings (same trees): cache node ids between levels and
+# give each pass more room for node statistics (fewer passes per level)
+TRAIN_EXEC = dict(cacheNodeIds=True, maxMemoryInMB=1024)
 
 
 def derived_features(df: DataFrame) -> DataFrame:
@@ -155,8 +158,8 @@ def train_ensemble(train: DataFrame, cols: list[str], label: str = LABEL,
     """
     asm = _assembler(cols)
     data = asm.transform(train).select("features", F.col(label).alias("label"))
-    rf = RandomForestRegressor(labelCol="label", **RF_PARAMS).fit(data)
-    gb = GBTRegressor(labelCol="label", **GB_PARAMS).fit(data)
+    rf = RandomForestRegressor(labelCol="label", **RF_PARAMS, **TRAIN_EXEC).fit(data)
+    gb = GBTRegressor(labelCol="label", **GB_PARAMS, **TRAIN_EXEC).fit(data)
     names = [FEATURES.get(c.removesuffix("_z"), c) for c in cols]
     imp = dict(zip(names, [float(x) for x in rf.featureImportances.toArray()]))
     ens = Ensemble(rf, gb, cols, imp)
