@@ -79,8 +79,9 @@ def compare(spark_df, con, sql: str, digits: int = int(os.environ.get("ORACLE_DI
     if scols != dcols:
         res["cols"] = (scols, dcols)
     elif sh != dh:
-        only_s = [r for r in srows if r not in set(drows)][:3]
-        only_d = [r for r in drows if r not in set(srows)][:3]
+        dset, sset = set(drows), set(srows)
+        only_s = [r for r in srows if r not in dset][:3]
+        only_d = [r for r in drows if r not in sset][:3]
         res["diff"] = {"spark_only": only_s, "oracle_only": only_d}
     res["ok"] = res["cols_match"] and res["hash_match"] and len(srows) == len(drows)
     return res
