@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..sources.fixtures import Fixtures
 from .oracle_views import with_views
 
@@ -41,6 +42,7 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     reg = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return reg.build(Fixtures(spark, sf_dir))
     run.__name__ = name
     return run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,11 +51,33 @@ def build_session(master: str | None = None, app_name: str = "millrace",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once a session).
+
+    Functions that run in Python workers refer to the package's modules, so
+    workers must be able to import it wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="millrace-zip-"), "millrace.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._millrace_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a private folder is created only when
-    the session has none (local tests).
+    The cluster's setting always wins; a private folder is created only for a
+    local master that has none (tests). A cluster without the setting is an
+    error: executors could not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +85,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="millrace-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
