@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontam, langid, mixing, url_filter
+from . import decontam, jaccard, langid, mixing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_groups(table(spark, sf_dir, "documents")).drop("text_key")
