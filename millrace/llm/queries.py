@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontam, jaccard, langid, mixing, quality, url_filter
+from . import decontam, jaccard, langid, lm, mixing, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
                          table(spark, sf_dir, "pages")).drop("text_key")
+
+
+@query("op1_lm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
