@@ -197,7 +197,7 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return out
 
 
-def _members(pdf: pd.DataFrame) -> Iterator[tuple]:
+def tiles_of(pdf: pd.DataFrame) -> Iterator[tuple]:
     """For each tile of a bin: its rows, those of the left and right slice."""
     pdf = pdf.sort_values(["key", "i", "j", "node"], ignore_index=True)
     new = (pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1).to_numpy()
@@ -212,7 +212,7 @@ def _members(pdf: pd.DataFrame) -> Iterator[tuple]:
 def _prune_bin(t: Fraction, tolerance: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part, left, right in _members(pdf):
+        for part, left, right in tiles_of(pdf):
             sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
             node = part["node"].to_numpy()
             found = [lasting_pairs(sig, a, b, t, tolerance) for a, b in tile_pairs(left, right)]
@@ -228,7 +228,7 @@ def _prune_bin(t: Fraction, tolerance: float):
 def _verify_bin(t: Fraction, tolerance: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part, left, right in _members(pdf):
+        for part, left, right in tiles_of(pdf):
             sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
             sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
             size = np.array([len(x) for x in sets])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontam, jaccard, langid, lm, mixing, quality, url_filter
+from . import decontam, jaccard, langid, lm, mixing, neardup, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_lm_score")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_neardup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings"))
