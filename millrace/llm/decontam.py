@@ -40,7 +40,7 @@ WINDOW = 13
 #: candidate starts looked at once within a shard
 CANDIDATES = 1_000_000
 
-INDEX = ("shard string, doc_ids array<long>, doc_words array<int>, terms binary, "
+INDEX = ("shard string, doc_ids array<long>, text_keys array<long>, doc_words array<int>, terms binary, "
          "counts binary, positions binary")
 MATCHES = ("shard string, place int, items array<string>, "
            "hits array<struct<lo: int, hi: int>>, near array<string>")
@@ -60,13 +60,14 @@ def build_index(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({
                     "shard": [f"{part}-{made}"],
                     "doc_ids": [[None if x is pd.NA else int(x) for x in ids.iloc[lo:hi]]],
+                    "text_keys": [b["text_key"].iloc[lo:hi].to_numpy()],
                     "doc_words": [words.astype(np.int32)], "terms": [terms.tobytes()],
                     "counts": [counts.astype(np.int32).tobytes()],
                     "positions": [position[order].astype(np.int32).tobytes()]})
                 made += 1
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                       .mapInPandas(build, INDEX), "postings")
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                                   F.xxhash64("text").alias("text_key")).mapInPandas(build, INDEX), "postings")
 
 
 class Windows:
@@ -232,21 +233,23 @@ def _covered(spans: str) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: int = 26,
                   block_words: int = 200_000) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated,
-    n_near (items with proximity matches only), items, hits (word spans)."""
+    """One row per document: doc_id, text_key (a hash of the text), n_words, n_hit,
+    n_items, items_sha256, contaminated, n_near (items with proximity matches
+    only), items, hits (word spans)."""
     index = build_index(docs)
     found = (search(index, items, size, near, block_words).groupBy("shard", "place")
              .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
                   F.flatten(F.collect_list("hits")).alias("_spans"),
                   F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    rows = (index.select("shard", "doc_words", F.posexplode("doc_ids").alias("place", "doc_id"))
-            .select("shard", "place", "doc_id", F.get("doc_words", F.col("place")).cast("long").alias("n_words")))
+    rows = (index.select("shard", "doc_words", "text_keys", F.posexplode("doc_ids").alias("place", "doc_id"))
+            .select("shard", "place", "doc_id", F.get("text_keys", F.col("place")).alias("text_key"),
+                    F.get("doc_words", F.col("place")).cast("long").alias("n_words")))
     none = F.array().cast("array<string>")
     return (rows.join(found, ["shard", "place"], "left")
             .withColumn("items", F.coalesce("items", none))
             .withColumn("n_hit", F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(
                 F.expr(_covered("_spans"))).cast("long"))
-            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+            .select("doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                     ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
                     F.coalesce(F.size(F.array_except("near", "items")), F.lit(0)).cast("long").alias("n_near"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontam, jaccard, langid, lm, mixing, neardup, pii, quality, url_filter
+from . import decontam, jaccard, langid, lm, mixing, neardup, pii, quality, quotes, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,49 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
+
+
+_OP8_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
+l AS (
+  SELECT rid, conv_id, turn, p, line, regexp_extract(line, '^(?:[ \t]*>)+') AS marks
+  FROM (SELECT rid, conv_id, turn, unnest(range(1, len(s) + 1)) AS p, unnest(s) AS line
+        FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS s FROM m WHERE text IS NOT NULL))),
+b AS (
+  SELECT rid, conv_id, turn, p, len(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, len(marks) + 1) AS body,
+    nullif(trim(regexp_replace(translate(substr(line, len(marks) + 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' '), '') AS h FROM l),
+k AS (SELECT * FROM b WHERE h IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL),
+q AS (SELECT conv_id, turn, level, h, count(*) AS n FROM k WHERE level > 0 GROUP BY ALL),
+o AS (SELECT conv_id, h, min(turn) AS t FROM k WHERE level = 0 GROUP BY ALL),
+f AS (SELECT h, conv_id AS fc, t AS ft FROM o QUALIFY row_number() OVER (PARTITION BY h ORDER BY conv_id, t) = 1),
+to_ AS (
+  SELECT q.conv_id, q.turn, q.level, q.n, CASE WHEN o.t < q.turn THEN q.conv_id WHEN (fc, ft) < (q.conv_id, q.turn) THEN fc END AS tc,
+    CASE WHEN o.t < q.turn THEN o.t WHEN (fc, ft) < (q.conv_id, q.turn) THEN ft END AS tt
+  FROM q LEFT JOIN o ON o.conv_id = q.conv_id AND o.h = q.h LEFT JOIN f ON f.h = q.h),
+g AS (SELECT conv_id, turn, level, tc, tt, sum(n) AS n FROM to_ WHERE tc IS NOT NULL GROUP BY ALL),
+r AS (
+  SELECT conv_id, turn, tc, tt, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked FROM g
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, tc, tt) = 1),
+w AS (
+  SELECT conv_id, turn, tc AS uc, tt AS ut, tc || ':' || tt || '/' || conv_id || ':' || turn AS path, 1 AS d FROM r
+  UNION ALL
+  SELECT w.conv_id, w.turn, r.tc, r.tt, r.tc || ':' || r.tt || '/' || w.path, d + 1 FROM w JOIN r ON r.conv_id = w.uc AND r.turn = w.ut),
+top AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY d DESC) = 1),
+own AS (
+  SELECT rid, coalesce(string_agg(body, chr(10) ORDER BY p) FILTER (level = 0), '') AS t,
+    count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level FROM b GROUP BY rid)
+SELECT m.conv_id, m.turn, role, CASE WHEN m.text IS NOT NULL THEN
+    regexp_replace(regexp_replace(own.t, '^(?:[ \t]*\n)+', ''), '(?:\n[ \t]*)+$', '') END AS text,
+  coalesce(n_quoted, 0) AS n_quoted, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level,
+  CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, r.tc AS reply_conv, r.tt AS reply_turn,
+  coalesce(uc, m.conv_id) AS thread_conv, coalesce(ut, m.turn) AS thread_turn,
+  coalesce(path, m.conv_id || ':' || m.turn) AS path
+FROM m LEFT JOIN own USING (rid) LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn
+LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
+"""
+
+
+@query("op8_chat_quotes", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(table(spark, sf_dir, "conversations"))
