@@ -48,6 +48,7 @@ def build_session(master: str | None = None, app_name: str = "millrace",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
