@@ -36,8 +36,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same = (docs["doc_id"].cast("long") == again["_i"]) & (F.xxhash64(docs["text"]) == again["_t"])
     if again.isEmpty():
         return left
-    once = left.join(again, same, "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"])
-    return left.join(again, same, "left_anti").unionByName(once.drop("_t"))
+    own = "_text_key_of_" + "_".join(docs.columns)  # a name that no column has
+    once = left.join(again, same, "left_semi").withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own])
+    return left.join(again, same, "left_anti").unionByName(once.drop(own))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,9 +41,9 @@ def _is_letter() -> np.ndarray:
 
 
 def _codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, 0 for non-letters and between texts; text ends."""
-    low = [t.lower() + "\n" if isinstance(t, str) else "\n" for t in texts]
-    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Code points of all texts, 0 for non-letters and before each text; text ends."""
+    low = ["\n" + t.lower() if isinstance(t, str) else "\n" for t in texts]
+    code = np.frombuffer(("".join(low) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) for t in low])
     return np.where(_is_letter()[code], code, np.uint32(0)), ends
 

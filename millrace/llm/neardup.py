@@ -150,11 +150,12 @@ def descend(graph: DataFrame, nodes: DataFrame, total: int, k: int, seed: int) -
         pdf = pdf.sort_values(["u", "v"], ignore_index=True)
         u = pdf["u"].to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
-        x, v = _unit(pdf["vec"]), pdf["v"].to_numpy()
+        v = pdf["v"].to_numpy()
         seen: dict[int, dict[int, float]] = {}
         for lo, hi in zip(starts[:-1], starts[1:]):
             if hi - lo > 1:
-                at, s = _best(x[lo:hi] @ x[lo:hi].T, k)
+                x = _unit(pdf["vec"].iloc[lo:hi])
+                at, s = _best(x @ x.T, k)
                 for i, (cols, vals) in enumerate(zip(v[lo:hi][at].tolist(), s.tolist())):
                     seen.setdefault(int(v[lo + i]), {}).update(zip(cols, vals))
         for node, near in seen.items():
