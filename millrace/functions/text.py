@@ -25,6 +25,10 @@ SANITIZE_REPLACEMENTS = [
 NON_LATIN1 = "[^\\x{0}-\\x{FF}]"
 
 
+#: JSON records name every field, also those that are null
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def py_fixed(x: Column, digits: int) -> Column:
     """Python ``f"{x:.{digits}f}"`` for a double.
 
@@ -93,31 +97,27 @@ def text_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before the first header form ``introduction``. A section with no lines
     is dropped; a repeated key keeps the last non-empty one.
 
-    Work is per document: ``posexplode`` + a running header count over the
-    document's lines, so each document is one bounded group.
+    Work stays within a row: header places are found in the split array, each
+    section is a slice of it, and no line is ever shuffled.
     """
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1))
-                        .alias("pos", "line"))
-    stripped = py_strip(F.col("line"))
-    is_header = stripped.rlike("^[1-5]\\.")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = (lines
-              .withColumn("is_header", is_header)
-              .withColumn("idx", F.sum(F.col("is_header").cast("int")).over(w)))
-    key = F.lower(py_strip(F.regexp_extract(stripped, "(?s)^[^.]*\\.(.*)$", 1)))
-    headers = (marked.filter("is_header")
-               .select(id_col, "idx", key.alias("section")))
-    body = (marked.filter(~F.col("is_header"))
-            .groupBy(id_col, "idx")
-            .agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"],
-                              "\n").alias("content")))
-    sections = (body.join(headers, [id_col, "idx"], "left")
-                .withColumn("section", F.when(F.col("idx") == 0, F.lit(intro))
-                            .otherwise(F.col("section"))))
-    # repeated key: the last non-empty section wins (one row per key)
-    return (sections.groupBy(id_col, "section")
-            .agg(F.max_by(F.struct("content", "idx"), F.col("idx")).alias("_v"))
-            .select(id_col, "section", "_v.content", "_v.idx"))
+    lines = F.split(F.col(text_col), "\n", -1)
+    header = F.filter(F.transform("_lines", lambda x, i: F.when(py_strip(x).rlike("^[1-5]\\."), i)),
+                      lambda i: i.isNotNull())
+
+    def section(at, idx):
+        """The section opened by line ``at`` (-1: the lines before any header)."""
+        after = F.coalesce(F.get("_at", idx + 1), F.size("_lines"))
+        key = F.lower(py_strip(F.regexp_extract(py_strip(F.get("_lines", at)), "(?s)^[^.]*\\.(.*)$", 1)))
+        return F.struct(F.when(idx == 0, F.lit(intro)).otherwise(key).alias("section"),
+                        F.slice("_lines", at + 2, after - at - 1).alias("body"), idx.alias("idx"))
+
+    filled = F.filter(F.transform("_at", section), lambda x: F.size(x["body"]) > 0)
+    last = F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["section"] == x["section"]) & (y["idx"] > x["idx"])))
+    return (docs.select(id_col, lines.alias("_lines")).filter("_lines IS NOT NULL")
+            .withColumn("_at", F.concat(F.array(F.lit(-1)), header))
+            .withColumn("_all", filled).select(id_col, F.explode(last).alias("_s"))
+            .select(id_col, "_s.section", F.array_join("_s.body", "\n").alias("content"),
+                    F.col("_s.idx").cast("bigint").alias("idx")))
 
 
 def sections_map(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:

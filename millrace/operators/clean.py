@@ -56,15 +56,15 @@ def fill_nulls(df: DataFrame) -> DataFrame:
 
 
 def clip_negative(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """P11 negative measures -> 0."""
+    """P11 negative measures -> 0; a null measure stays null."""
     cols = [c for c in (cols or MEASURES) if c in df.columns]
-    return df.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in cols})
+    return df.withColumns({c: F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c)) for c in cols})
 
 
 def cap_defects(df: DataFrame) -> DataFrame:
-    """P12 defects cannot exceed units."""
-    return df.withColumn("defective_units",
-                         F.least(F.col("defective_units"), F.col("units_produced")))
+    """P12 defects cannot exceed units; next to unknown units they stay."""
+    d, u = F.col("defective_units"), F.col("units_produced")
+    return df.withColumn("defective_units", F.when(d > u, u).otherwise(d))
 
 
 def validate(df: DataFrame) -> DataFrame:

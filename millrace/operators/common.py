@@ -1,4 +1,4 @@
-"""Shared building blocks: as-of dates, trailing windows, guarded joins."""
+"""Shared building blocks: as-of dates, trailing windows."""
 
 from __future__ import annotations
 
@@ -43,14 +43,3 @@ def truncate_int(c: Column) -> Column:
     """Python ``int(x)`` on a float: toward zero, as a BIGINT."""
     return c.cast("bigint")
 
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = 1_000_000) -> DataFrame:
-    """Join, broadcasting ``small`` only after checking its row count.
-
-    The check is a bounded ``limit(max_rows + 1).count()``; beyond the bound
-    the join is left to the planner (shuffle join, AQE may still convert it).
-    """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import narrative as N
+from ..sources.schemas import DISPLAY_NAMES
 from . import windows
+from .common import AsOf, trailing_window
 
 # The model's feature names (reference display names) and the
 # storage columns they are computed into.
@@ -69,13 +71,23 @@ def feature_cols(df: DataFrame) -> list[str]:
 
 
 def hash_split(df: DataFrame, keys: list[str], train_pct: int = 80, seed: int = 42) -> DataFrame:
-    """M2 stable random split: ``pmod(xxhash64(seed, keys), 100) < train_pct``.
+    """M2 stable random split: the md5 of ``seed|keys``, first 32 bits, modulo
+    100, under ``train_pct``.
 
     Unlike ``randomSplit`` it does not depend on partitioning, so a retried
-    task or a re-read table gives the same split.
+    task or a re-read table gives the same split, in any engine with md5.
     """
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100))
-    return df.withColumn("is_train", h < train_pct)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("is_train", h % 100 < train_pct)
+
+
+def model_input(prod: DataFrame, days: int = 30, as_of: AsOf = None) -> DataFrame:
+    """S11 the model routes' input: the window's date and three measures under
+    their display names, in date order."""
+    cols = ["production_date", "units_produced", "defective_units", "downtime_min"]
+    rows = trailing_window(prod, days, as_of).orderBy("production_date")
+    return rows.select(*[F.col(c).alias(DISPLAY_NAMES[c]) for c in cols])
 
 
 @dataclass

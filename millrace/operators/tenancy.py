@@ -8,7 +8,7 @@ and resolved column by column. The result is a new version of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import AsOf, trailing_window
@@ -179,7 +179,11 @@ def latest_per_key(batch: DataFrame, keys: list[str], seq: str | None,
     row per partition before the shuffle.
     """
     if seq is None:
-        return batch.select(*keys, *cols).dropDuplicates(keys)
+        # without a sequence there is no last write: a repeated key is an error
+        again = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return (batch.select(*keys, *cols, again.alias("_again"))
+                .filter(F.assert_true(F.col("_again") == 1, "a key repeats and seq is not given").isNull())
+                .drop("_again"))
     packed = F.struct(*[F.col(c) for c in cols])
     return (batch.groupBy(*keys)
             .agg(F.max_by(packed, F.col(seq)).alias("_v"))

@@ -13,6 +13,11 @@ last ``k`` rows of each block (a per-group aggregate of at most ``k``
 elements), chained over the small one-row-per-block summary. The summary
 also carries block offsets, giving exact global positions without a
 series-wide sort.
+
+A block with more than ``HOT_BLOCK_ROWS`` rows (a machine-day of a machine that
+holds a third of all rows) is cut into sub-blocks by quantiles of the next
+order column. Rows with a null series or date key form blocks of their own and
+come through every operator.
 """
 
 from __future__ import annotations
@@ -23,12 +28,45 @@ from pyspark.sql import functions as F
 from .common import AsOf, as_of_col
 
 DEFAULT_BLOCK = ["production_date"]
+HOT_BLOCK_ROWS = 5_000_000
+#: most sub-blocks of a hot block
+SUB_BLOCKS = 256
 
 
 def _cols(names):
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls match each other."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def split_hot_blocks(df: DataFrame, series: list[str], block: list[str], order: list[str],
+                     limit: int | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """(df, block, order) with hot blocks cut along the next order column.
+
+    Rows with equal values of that column stay together, so sub-blocks are
+    contiguous runs of the series order and every result is the same.
+    """
+    limit = HOT_BLOCK_ROWS if limit is None else limit
+    rest = order[len(block):]
+    if not rest:
+        return df, block, order
+    keys = series + block
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn")).filter(F.col("_bn") > limit).select(*keys)
+    if hot.isEmpty():
+        return df, block, order
+    steps = [i / SUB_BLOCKS for i in range(1, SUB_BLOCKS)]
+    cuts = (_join_keys(df.select(*keys, rest[0]), hot, keys, "left_semi").groupBy(*keys)
+            .agg(F.array_distinct(F.percentile_approx(rest[0], steps)).alias("_cuts")))
+    sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(rest[0]))), F.lit(0))
+    out = _join_keys(df, cuts, keys, "left").withColumn("_sub", F.when(F.col("_cuts").isNull(), 0).otherwise(sub)).drop("_cuts")
+    return out, [*block, "_sub"], [*block, "_sub", *rest]
+
+
 def _block_summary(df: DataFrame, series: list[str], block: list[str]) -> DataFrame:
     """One row per block: global offset and series length, from a partial
     aggregate of block row counts over the source (no sort of the rows)."""
@@ -54,6 +92,7 @@ def with_history(df: DataFrame, series: list[str], order: list[str], values: lis
     """
     block = list(DEFAULT_BLOCK if block is None else block)
     assert order[:len(block)] == block, "series order must start with the block columns"
+    df, block, order = split_hot_blocks(df, series, block, order)
     in_block = order[len(block):] or order
     keys = series + block
     wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
@@ -78,7 +117,7 @@ def with_history(df: DataFrame, series: list[str], order: list[str], values: lis
                .withColumn("_halo", F.flatten(F.collect_list("_tail").over(ws.rowsBetween(-k, -1))))
                .select(*keys, "_off", "_n", "_halo"))
 
-    joined = local.join(summary, keys, "inner")
+    joined = _join_keys(local, summary, keys)
     out = {}
     for v in values:
         loc = F.col(f"_{v}_local")
@@ -87,7 +126,7 @@ def with_history(df: DataFrame, series: list[str], order: list[str], values: lis
         out[f"{v}_prev"] = F.when(F.col("_rn") > k, loc).otherwise(
             F.slice(full, F.greatest(size - k + 1, F.lit(1)), k))
     out["_pos"] = F.col("_off") + F.col("_rn")
-    drop = ["_rn", "_bn", "_off", "_halo"] + [f"_{v}_local" for v in values]
+    drop = ["_rn", "_bn", "_off", "_halo", "_sub"] + [f"_{v}_local" for v in values]
     return joined.withColumns(out).drop(*drop)
 
 
@@ -148,14 +187,15 @@ def positions(df: DataFrame, series: list[str], order: list[str],
               block: list[str] | None = None) -> DataFrame:
     """Global 1-based ``pos`` and series length ``n`` without a series sort."""
     block = list(DEFAULT_BLOCK if block is None else block)
+    df, block, order = split_hot_blocks(df, series, block, order)
     keys = series + block
     in_block = order[len(block):] or order
     wb = Window.partitionBy(*keys).orderBy(*_cols(in_block))
     local = df.withColumn("_rn", F.row_number().over(wb))
     summary = _block_summary(df, series, block)
-    return (local.join(summary, keys, "inner")
+    return (_join_keys(local, summary, keys)
             .withColumn("pos", F.col("_off") + F.col("_rn"))
-            .withColumnRenamed("_n", "n").drop("_off", "_rn"))
+            .withColumnRenamed("_n", "n").drop("_off", "_rn", "_sub"))
 
 
 def last_n(df: DataFrame, series: list[str], order: list[str], n: int) -> DataFrame:

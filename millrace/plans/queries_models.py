@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, forecast, ml, windows
-from ..operators.common import last_day, trailing_window
+from ..operators.common import trailing_window
 from ..sources.fixtures import ORDER_COLS
-from ..session import ensure_checkpoint_dir
+from ..session import write_table
 from .catalog import query
+from .oracle_views import AS_OF
 
 P = ("production",)
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -16,6 +17,7 @@ KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ORDER_SQL = "production_date, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 SERIES = ["machine_id"]
 FEATS = list(ml.FEATURES)
+NOW = "2001-01-01 00:00:00"   # passed in, so that a run can be repeated
 ML_DAYS = 30          # the ML routes' default window
 
 
@@ -55,13 +57,23 @@ _Z = ",\n       ".join(
 
 @query("m3_standardize", f"WITH {_M1.strip()}\nSELECT {KEY_SQL}, {_Z}\nFROM m1", P)
 def m3_standardize(fx):
-    f = _features(fx)
+    f = write_table(_features(fx), "m3-features")  # read for the statistics and the scores
     return ml.standardize(f, FEATS).select(*KEYS, *[f"{c}_z" for c in FEATS])
 
 
-@query("m2_hash_split")
+@query("m2_hash_split", f"""
+SELECT {KEY_SQL}, (CAST('0x' || substr(md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS BIGINT) % 100) < 80 AS is_train
+FROM production""", P)
 def m2_hash_split(fx):
-    return ml.hash_split(_features(fx), KEYS).groupBy("is_train").count()
+    return ml.hash_split(fx.production.select(*KEYS), KEYS)
+
+
+@query("s11_model_input", f"""
+SELECT production_date AS "Date", units_produced AS "Units Produced", defective_units AS "Defective Units",
+       downtime_min AS "Downtime (minutes)"
+FROM production WHERE production_date >= {AS_OF} - {ML_DAYS}""", P)
+def s11_model_input(fx):
+    return ml.model_input(fx.recent(ML_DAYS), ML_DAYS, fx.as_of)
 
 
 @query("m7_r2", f"""
@@ -110,17 +122,14 @@ def m9_m10_ensemble_arith(fx):
 
 # ---------------------------------------------------------------- M11, M12
 def _anomalies(fx):
-    """Per-tenant forests over the scaled features. The feature frame is
-    checkpointed once (scaling reads it twice: statistics and join); only the
-    columns the outputs need travel through the scorer."""
-    ensure_checkpoint_dir(fx.spark)
-    f = _features(fx).select(*KEYS, "tenant_id", "machine_id", "production_date",
-                             "downtime_min", *FEATS).checkpoint()
+    """Per-tenant forests over the scaled features (written once: scaling reads
+    them twice, for the statistics and the join)."""
+    f = write_table(_features(fx).select(*KEYS, "tenant_id", "machine_id", "production_date",
+                                         "downtime_min", *FEATS), "m11-features")
     z = ml.standardize(f, FEATS, group=["tenant_id"]).select(
         *KEYS, "tenant_id", "machine_id", "production_date", "downtime_min",
         *[f"{c}_z" for c in FEATS])
-    return anomaly.detect_anomalies(z, [f"{c}_z" for c in FEATS], KEYS, group=["tenant_id"],
-                                    checkpoint_input=False)
+    return anomaly.detect_anomalies(z, [f"{c}_z" for c in FEATS], KEYS, group=["tenant_id"])
 
 
 @query("m11_anomaly_flags")
@@ -128,21 +137,62 @@ def m11_anomaly_flags(fx):
     return _anomalies(fx).select(*KEYS, "tenant_id", "machine_id", "iforest_score", "is_anomaly")
 
 
+@query("m11_flag_counts", """
+SELECT tenant_id, COUNT(*) AS n_rows,
+       -- without ties at the cut, the ranks above 0.9 (n - 1) are flagged
+       CASE WHEN COUNT(*) < 5 THEN 0 ELSE COUNT(*) - 1 - CAST(floor(0.9 * (COUNT(*) - 1)) AS BIGINT) END AS expected,
+       TRUE AS separated, TRUE AS within_ties
+FROM production GROUP BY tenant_id""", P)
+def m11_flag_counts(fx):
+    """Per tenant: flagged rows score above all others, and their number is the
+    expected rank count less at most the rows that tie with the cut."""
+    s = _anomalies(fx).withColumn("_v", F.when(~F.col("is_anomaly"), F.col("iforest_score")))
+    agg = s.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_anomaly").alias("flagged"), F.max("_v").alias("below"),
+        F.min(F.when(F.col("is_anomaly"), F.col("iforest_score"))).alias("above"))
+    ties = s.groupBy("tenant_id", "iforest_score").agg(F.count(F.lit(1)).alias("c")).select(
+        F.col("tenant_id").alias("_t"), F.col("iforest_score").alias("_s"), "c")
+    out = agg.join(ties, (F.col("tenant_id") == F.col("_t")) & (F.col("below") == F.col("_s")), "left")
+    expected = F.when(F.col("n_rows") < 5, F.lit(0)).otherwise(
+        F.col("n_rows") - 1 - F.floor((F.col("n_rows") - 1) * 0.9)).cast("bigint")
+    return out.select("tenant_id", "n_rows", expected.alias("expected"),
+                      F.coalesce(F.col("above") > F.col("below"), F.lit(True)).alias("separated"),
+                      F.col("flagged").between(expected - F.coalesce("c", F.lit(0)), expected).alias("within_ties"))
+
+
 @query("m12_anomaly_timeline")
 def m12_anomaly_timeline(fx):
     return ml.anomaly_timeline(_anomalies(fx), SERIES, ORDER_COLS)
 
 
+@query("m12_timeline_rows", f"""
+SELECT machine_id, row_number() OVER (PARTITION BY machine_id ORDER BY {ORDER_SQL}) - 1 AS row_index, downtime_min
+FROM production""", P)
+def m12_timeline_rows(fx):
+    """The timeline's index and downtime (its flags are covered by m11_flag_counts)."""
+    return ml.anomaly_timeline(_anomalies(fx), SERIES, ORDER_COLS).drop("is_anomaly")
+
+
 # ---------------------------------------------------------------- M4-M6, O5, M13/M14
 def _ml_analysis(fx):
     """M14 the single-plant ML route over the trailing 30 days."""
     from .report import ml_analysis
-    win = trailing_window(fx.production, ML_DAYS, last_day(fx.production))
+    win = trailing_window(fx.recent(ML_DAYS), ML_DAYS, fx.as_of)
     rows = win.select(*KEYS, "production_date", "machine_id", "units_produced",
                       "defective_units", "downtime_min")
     return ml_analysis(rows, KEYS, ORDER_COLS)
 
 
+@query("m14_empty_window", """
+SELECT CAST(0 AS DOUBLE) AS prediction, CAST(0 AS DOUBLE) AS confidence, CAST(count(*) AS INTEGER) AS anomalies_detected
+FROM production WHERE production_date > (SELECT max(production_date) FROM production)""", P)
+def m14_empty_window(fx):
+    """M14 below the 5-row gate: the rows after the last day."""
+    from .report import ml_analysis
+    rows = fx.production.filter(F.col("production_date") > F.lit(fx.as_of))
+    return ml_analysis(rows, KEYS, ORDER_COLS).record.select("prediction", "confidence", "anomalies_detected")
+
+
 @query("m14_ml_analysis")
 def m14_ml_analysis(fx):
     return _ml_analysis(fx).record
@@ -310,6 +360,7 @@ def m23_forecast_all(fx):
 def c3_insight_bundle(fx):
     from .report import insight_bundle, tenant_predictions
     p = fx.production
-    anomalies = p.groupBy("tenant_id").agg(
-        F.count_if(F.col("downtime_min") >= 78).alias("anomalies_detected"))
-    return insight_bundle(p, tenant_predictions(p), anomalies)
+    anomalies = _anomalies(fx).groupBy("tenant_id").agg(
+        F.count_if("is_anomaly").alias("anomalies_detected"))
+    return insight_bundle(p, tenant_predictions(p), anomalies,
+                          generated_at=F.lit(NOW).cast("timestamp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, windows
-from ..operators.common import last_day, trailing_window
+from ..operators.common import trailing_window
 from ..sources.fixtures import ORDER_COLS
 from .catalog import query
 from .oracle_views import AS_OF
@@ -18,10 +18,6 @@ ORDER_SQL = "production_date, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 SERIES = ["machine_id"]
 
 
-def _as_of(fx):
-    return last_day(fx.production)
-
-
 # ---------------------------------------------------------------- P1, P2
 @query("p1_display_names", f"""
 SELECT {KEY_SQL}, production_date AS "Date", machine_id AS "Machine ID",
@@ -73,20 +69,21 @@ def p10_fill_nulls(fx):
 
 
 @query("p11_clip_negative", f"""
-SELECT {_DIRTY_COLS}, greatest(units_produced, 0.0) AS units_produced,
-       greatest(defective_units, 0.0) AS defective_units,
-       greatest(downtime_min, 0.0) AS downtime_min, shift
-FROM production_dirty WHERE units_produced IS NOT NULL""", PD)
+SELECT {_DIRTY_COLS}, CASE WHEN units_produced < 0 THEN 0.0 ELSE units_produced END AS units_produced,
+       CASE WHEN defective_units < 0 THEN 0.0 ELSE defective_units END AS defective_units,
+       CASE WHEN downtime_min < 0 THEN 0.0 ELSE downtime_min END AS downtime_min, shift
+FROM production_dirty""", PD)
 def p11_clip_negative(fx):
-    return clean.clip_negative(fx.production_dirty.filter(F.col("units_produced").isNotNull()))
+    return clean.clip_negative(fx.production_dirty)
 
 
 @query("p12_cap_defects", f"""
-SELECT {_DIRTY_COLS}, units_produced, least(defective_units, units_produced) AS defective_units,
+SELECT {_DIRTY_COLS}, units_produced,
+       CASE WHEN defective_units > units_produced THEN units_produced ELSE defective_units END AS defective_units,
        downtime_min, shift
-FROM production_dirty WHERE units_produced IS NOT NULL""", PD)
+FROM production_dirty""", PD)
 def p12_cap_defects(fx):
-    return clean.cap_defects(fx.production_dirty.filter(F.col("units_produced").isNotNull()))
+    return clean.cap_defects(fx.production_dirty)
 
 
 _C2 = f"""
@@ -159,7 +156,7 @@ SELECT * FROM (SELECT * FROM production WHERE production_date >= {AS_OF} - 7)
 UNION ALL BY NAME
 SELECT * FROM live_records""", ("production", "live_records"))
 def u1_union_history_live(fx):
-    return clean.union_sources(trailing_window(fx.production, 7, _as_of(fx)), fx.live_records)
+    return clean.union_sources(trailing_window(fx.recent(7), 7, fx.as_of), fx.live_records)
 
 
 @query("c1_load_for_report", f"""
@@ -176,7 +173,7 @@ SELECT production_date AS "Date", machine_id AS "Machine ID",
 FROM u""", ("production", "live_records"))
 def c1_load_for_report(fx):
     from ..plans.report import load_for_report
-    return load_for_report(fx.production, fx.live_records, 7, _as_of(fx))
+    return load_for_report(fx.recent(7), fx.live_records, 7, fx.as_of)
 
 
 # ---------------------------------------------------------------- D2
@@ -293,7 +290,29 @@ def w6_row_index(fx):
 SELECT *, CAST({AS_OF} + CAST(pos - n AS INTEGER) AS DATE) AS ds FROM s""", P)
 def w7_synthesized_dates(fx):
     p = fx.production.select(*KEYS, "machine_id", "production_date", "downtime_min")
-    return windows.synthesized_dates(p, SERIES, ORDER_COLS, _as_of(fx))
+    return windows.synthesized_dates(p, SERIES, ORDER_COLS, fx.as_of)
+
+
+# ---------------------------------------------- W1, W5 on null dates and machines
+_GAPS = f"""
+WITH g AS (
+  SELECT {KEY_SQL}, CASE WHEN l_linenumber = 3 THEN NULL ELSE production_date END AS production_date,
+         CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN NULL ELSE machine_id END AS machine_id, downtime_min
+  FROM production)
+SELECT *, AVG(downtime_min) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS downtime_ma3,
+       row_number() OVER w AS pos, COUNT(*) OVER (PARTITION BY machine_id) AS n,
+       row_number() OVER w <= floor(CAST(COUNT(*) OVER (PARTITION BY machine_id) AS DOUBLE) * 0.8) AS is_train
+FROM g WINDOW w AS (PARTITION BY machine_id ORDER BY production_date NULLS FIRST, l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
+
+@query("w1_w5_null_keys", _GAPS, P)
+def w1_w5_null_keys(fx):
+    p = fx.production.select(
+        *KEYS, F.when(F.col("l_linenumber") != 3, F.col("production_date")).alias("production_date"),
+        F.when((F.col("l_orderkey") % 7 != 0) | (F.col("l_linenumber") != 2), F.col("machine_id")).alias("machine_id"),
+        "downtime_min")
+    means = windows.trailing_means(p, SERIES, ORDER_COLS, {"downtime_ma3": "downtime_min"}, window=3)
+    return windows.chrono_split(means, SERIES, ORDER_COLS, 0.8)
 
 
 # ---------------------------------------------------------------- W8

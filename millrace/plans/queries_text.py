@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import narrative as N
 from ..functions import text as X
 from ..operators import kpi
-from ..operators.common import last_day
 from .catalog import query
 
 P = ("production",)
@@ -41,7 +40,7 @@ k AS (SELECT tenant_id, CAST(trunc(SUM(units_produced)) AS BIGINT) AS total_unit
 
 
 def _tenant_kpi(fx):
-    k = kpi.report_kpis(fx.production, ["tenant_id"], last_day(fx.production))
+    k = kpi.report_kpis(fx.production, ["tenant_id"], fx.as_of)
     a = fx.production.groupBy("tenant_id").agg(
         F.count_if(F.col("downtime_min") >= 78).alias("anomalies"))
     return k.drop("report_date").join(a, "tenant_id")
@@ -179,6 +178,17 @@ def k4_records_json(fx):
     return records_json(fx.production, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+@query("k4_records_json_dirty", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       to_json({'production_date': strftime(production_date, '%Y-%m-%d'), 'machine_id': machine_id,
+                'units_produced': units_produced, 'defective_units': defective_units,
+                'downtime_min': downtime_min, 'shift': shift})::VARCHAR AS record
+FROM production_dirty""", ("production_dirty",))
+def k4_records_json_dirty(fx):
+    from ..sources.sinks import records_json
+    return records_json(fx.production_dirty, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
 # ---------------------------------------------------------------- F12
 @query("f12_config_json", """
 WITH c AS (

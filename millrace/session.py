@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: ANSI on (Spark 4 default), UTC so DATE casts
 # of NTZ timestamps are stable, AQE for runtime coalescing and skew splits.
@@ -94,6 +95,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+def write_table(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and reread it: the plan
+    runs once, its lineage ends there and a lost executor takes nothing away."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ Catalyst prunes the parquet scan to them.
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import os
 
@@ -46,9 +47,25 @@ class Fixtures:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    @functools.cached_property
+    def as_of(self) -> dt.date:
+        """The last production day: one maximum over one column of lineitem."""
+        last = self.raw("lineitem").agg(F.max("l_shipdate")).first()[0]
+        return last.date() if last else dt.date.today()
+
     @functools.cached_property
     def production(self) -> DataFrame:
-        li = self.raw("lineitem").select(
+        return self._production(self.raw("lineitem"))
+
+    def recent(self, days: int) -> DataFrame:
+        """Production of the trailing window, filtered on the raw timestamp by a
+        literal, so that the bound reaches the parquet scan."""
+        start = dt.datetime.combine(self.as_of, dt.time()) - dt.timedelta(days=days)
+        return self._production(self.raw("lineitem").filter(
+            F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz")))
+
+    def _production(self, lineitem: DataFrame) -> DataFrame:
+        li = lineitem.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
             "l_discount", "l_tax", "l_returnflag", "l_shipdate")
         sup = self.raw("supplier").select("s_suppkey", "s_nationkey")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import iso_date
+from ..functions.text import KEEP_NULLS, iso_date
 
 RECORD_FIELDS = ["production_date", "machine_id", "units_produced", "defective_units",
                  "downtime_min", "shift"]
@@ -18,12 +18,21 @@ RECORD_FIELDS = ["production_date", "machine_id", "units_produced", "defective_u
 
 def append_production(df: DataFrame, path: str) -> None:
     """K1 append live / legacy records, partitioned by ``production_date``."""
-    (df.write.mode("append").partitionBy("production_date").parquet(path))
+    _one_file_per_part(df, ["production_date"]).write.mode("append") \
+        .partitionBy("production_date").parquet(path)
 
 
 def append_tenant_production(df: DataFrame, path: str) -> None:
     """K2 append tenant records, partitioned by tenant then day."""
-    (df.write.mode("append").partitionBy("tenant_id", "production_date").parquet(path))
+    _one_file_per_part(df, ["tenant_id", "production_date"]).write.mode("append") \
+        .partitionBy("tenant_id", "production_date").parquet(path)
+
+
+def _one_file_per_part(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Gather a folder's rows before the write. A rebalance lets AQE split a
+    folder that is too large for one task and merge small ones, so the number
+    of files follows the bytes and not tasks x folders."""
+    return df.hint("rebalance", *keys)
 
 
 def write_validation_log(log_text: DataFrame, path: str) -> None:
@@ -35,12 +44,12 @@ def records_json(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """K4 records as JSON objects with ISO dates (``to_json(struct(...))``)."""
     cols = [iso_date(F.col("production_date")).alias("production_date")]
     cols += [F.col(c) for c in RECORD_FIELDS[1:]]
-    return df.select(*(keep or []), F.to_json(F.struct(*cols)).alias("record"))
+    return df.select(*(keep or []), F.to_json(F.struct(*cols), KEEP_NULLS).alias("record"))
 
 
 def write_insight_text(blocks: DataFrame, path: str) -> None:
     """K5 insight text blocks (one file per writer task, one line per block)."""
-    blocks.select(F.to_json(F.struct(*blocks.columns)).alias("value")) \
+    blocks.select(F.to_json(F.struct(*blocks.columns), KEEP_NULLS).alias("value")) \
           .write.mode("overwrite").text(path)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import KEEP_NULLS
 from ..sources.fixtures import live_from_events
 from ..sources.schemas import LIVE_RECORD
 
@@ -63,7 +64,7 @@ def envelope(batch: DataFrame, batch_id: int) -> DataFrame:
         F.lit(batch_id).alias("batch_id"),
         F.struct(F.date_format("production_date", "yyyy-MM-dd").alias("production_date"),
                  "machine_id", "units_produced", "defective_units", "downtime_min",
-                 "shift").alias("data"))).alias("value"))
+                 "shift").alias("data")), KEEP_NULLS).alias("value"))
 
 
 def persist_and_publish(store_path: str, publish_path: str | None = None):

@@ -85,3 +85,70 @@ def test_changepoint_model_follows_a_trend_break(spark):
         want = 32.0 - 0.1 * (d - 60) + pattern[d % 7]
         assert abs(r.yhat - want) < 1.5, (d, r.yhat, want)
         assert r.lower <= r.yhat <= r.upper
+
+
+def test_hot_blocks_give_the_same_windows(spark, monkeypatch):
+    rows = [(m, dt.date(2024, 1, 1 + d) if d else None, i // 3, i, float((i * 7 + d) % 11))
+            for m in ("A", "B", None) for d in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "m string, production_date date, o int, k int, v double")
+    order = ["production_date", "o", "k"]
+
+    def results():
+        a = windows.trailing_means(df, ["m"], order, {"ma": "v"}, 4)
+        return sorted(map(str, windows.chrono_split(a, ["m"], order).collect()))
+
+    plain = results()
+    assert len(plain) == len(rows)
+    monkeypatch.setattr(windows, "HOT_BLOCK_ROWS", 5)
+    assert results() == plain
+    w = Window.partitionBy("m").orderBy(*order).rowsBetween(-3, 0)
+    want = df.withColumn("ma", F.avg("v").over(w)).select("m", "o", "k", "production_date", "ma")
+    got = windows.trailing_means(df, ["m"], order, {"ma": "v"}, 4).select("m", "o", "k", "production_date", "ma")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_exact_quantile_with_ties(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.random(1001), "b": np.round(rng.random(400), 1), "c": np.array([0.5]), "d": np.full(50, 0.25),
+              "e": 0.5 + rng.random(300) * 1e-9}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double")
+    for q in (0.9, 0.0, 1.0, 0.333):
+        got = {r.g: (r.cut, r.n) for r in anomaly.exact_quantile(df, "v", q, ["g"]).collect()}
+        for g, v in groups.items():
+            assert abs(got[g][0] - np.percentile(v, q * 100)) < 1e-12 and got[g][1] == len(v)
+
+
+def test_flags_do_not_depend_on_partitions_or_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"t{i % 400}", *map(float, rng.normal(size=2))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, t string, a double, b double")
+
+    def flags(d):
+        got = anomaly.detect_anomalies(d, ["a", "b"], ["id"], ["t"], trees=10, psi=8)
+        return {r.id for r in got.filter("is_anomaly").collect()}
+
+    first = flags(df)
+    assert 350 <= len(first) <= 400          # the top one of 10 rows a tenant, less ties
+    monkeypatch.setattr(anomaly, "SLICE_ROWS", 3)
+    assert flags(df.repartition(7)) == first
+
+
+def test_pruned_window_plan(spark, fx):
+    plan = fx.recent(7)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_no_analysis_below_the_gate(spark):
+    from millrace.plans.report import no_analysis
+    r = no_analysis(spark).record.first()
+    assert (r.prediction, r.anomalies_detected, r.feature_importance) == (0.0, 0, {})
+
+
+def test_upsert_without_sequence_refuses_repeated_keys(spark):
+    import pytest
+
+    from millrace.operators import tenancy
+    once = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert tenancy.latest_per_key(once, ["k"], None, ["v"]).count() == 2
+    with pytest.raises(Exception, match="seq"):
+        tenancy.latest_per_key(once.union(once), ["k"], None, ["v"]).collect()
