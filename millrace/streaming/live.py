@@ -70,14 +70,15 @@ def envelope(batch: DataFrame, batch_id: int) -> DataFrame:
 def persist_and_publish(store_path: str, publish_path: str | None = None):
     """ST1/ST2/ST3 ``foreachBatch`` body: persist, then publish.
 
-    Output folders are keyed by ``batch_id`` and written with overwrite, so a
-    batch replayed after a failure replaces its own files.
+    The store is partitioned by day, then batch, so history scans prune by day;
+    a batch replayed after a failure replaces its own (day, batch) folders.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("production_date", "machine_id", "units_produced",
                             "defective_units", "downtime_min", "shift")
-        (rows.write.mode("overwrite")
-         .parquet(os.path.join(store_path, f"batch_id={batch_id}")))
+        (rows.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "production_date")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("production_date", "batch_id").parquet(store_path))
         if publish_path:
             envelope(rows, batch_id).write.mode("overwrite") \
                 .text(os.path.join(publish_path, f"batch_id={batch_id}"))
@@ -113,10 +114,22 @@ def windowed_machine_kpis(records: DataFrame, ts_col: str = "ts",
                  F.sum("downtime_min").alias("downtime_minutes")))
 
 
-def start_live_kpis(records: DataFrame, checkpoint: str, query_name: str = "live_kpis",
+def start_live_kpis(records: DataFrame, checkpoint: str, table_path: str,
                     available_now: bool = False, tick: str = TICK) -> StreamingQuery:
-    """ST4 keep the latest per-machine KPIs in a queryable in-memory table."""
-    w = (live_machine_kpis(records).writeStream.outputMode("complete")
-         .format("memory").queryName(query_name).option("checkpointLocation", checkpoint))
+    """ST4 append the machines that a batch changed (update mode) to a change
+    log keyed by batch; ``live_kpi_table`` reads the latest state."""
+    def log(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
+
+    w = (live_machine_kpis(records).writeStream.outputMode("update")
+         .foreachBatch(log).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=tick)
     return w.start()
+
+
+def live_kpi_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """ST4 the latest row of every machine in the change log."""
+    rows = spark.read.parquet(table_path)
+    cols = [c for c in rows.columns if c not in ("machine_id", "batch_id")]
+    return (rows.groupBy("machine_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
+            .select("machine_id", "r.*"))

@@ -1,4 +1,5 @@
 """C4 batch report end to end on the smallest tables (slow: trains the models)."""
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ def test_run_report(spark, fx, tmp_dir):
     log = spark.read.text(paths["validation_log"]).collect()
     assert log
     fc = spark.read.parquet(paths["forecast"])
-    assert fc.filter(F.col("model") == "ensemble").count() in (0, 7)
+    assert fc.filter(F.col("model") == "ensemble").count() == 7
     assert spark.read.parquet(paths["chart_insights"]).count() == 5
+    blocks = [json.loads(r.value) for r in spark.read.text(paths["insights"]).collect()]
+    assert list(blocks[0]) == ["strategic_insights", "maintenance_plan", "quality_insights", "analysis_context"]
+    assert json.loads(blocks[0]["analysis_context"])["data_quality"]["samples_analyzed"] > 0
 
 
 def test_insight_bundle_content(spark, fx):
