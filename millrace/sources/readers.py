@@ -53,12 +53,11 @@ def add_production_data(batch: DataFrame, tenant_id: str, tenants: DataFrame,
     """S7 tenant batch ingest: all-or-nothing.
 
     P7 columns -> P8 tag -> J4 tenant known -> D2 constraints -> K2 append.
-    An empty batch is a success. The checked batch is persisted once so the
+    A missing column refuses the batch, an empty batch is a success. The checked batch is persisted once so the
     checks and the append read the same rows.
     """
-    missing = missing_columns(batch)
-    if missing:
-        raise ValueError(f"Missing required column: {missing[0]}")
+    if missing_columns(batch):
+        return False
     tagged = tenancy.tag_tenant(batch.select(*REQUIRED), tenant_id)
     tagged = tagged.withColumn("production_date", F.col("production_date").cast("date"))
     checked = tagged.persist()
