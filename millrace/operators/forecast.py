@@ -13,8 +13,9 @@ Three models replace the reference's neural network and Prophet models:
 * ``trend_weekday``: least-squares linear trend plus the mean weekday
   residual (a Prophet-like trend + weekly seasonality without changepoints);
 * ``trend_changepoint``: piecewise-linear trend (25 changepoints) + weekly
-  Fourier terms, a penalised least-squares (MAP) form of the 2017 Prophet
-  model with its priors, solved per series in numpy.
+  Fourier terms by least squares with Gaussian penalties of the priors' scales
+  (that model family's own changepoint prior is Laplace), solved per series in
+  numpy.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_table
 from . import windows
 
 LOOKBACK = 10
@@ -125,14 +127,18 @@ def trend_forecast(daily: DataFrame, series: list[str], horizon: int = HORIZON,
 
 def ar_training_rows(daily: DataFrame, series: list[str], lookback: int = LOOKBACK,
                      date_col: str = "production_date") -> DataFrame:
-    """W3 + W5 on the scaled daily series: lags -> target, with is_train."""
-    scaled = minmax(daily, series)
-    lags = windows.lag_features(scaled, series, [date_col], "y_scaled", lookback,
-                                block=[date_col])
-    n_seq = Window.partitionBy(*series)
-    return (lags.withColumn("n_seq", F.count(F.lit(1)).over(n_seq))
-            .withColumn("is_train", (F.col("seq_pos") - lookback) <=
-                        F.floor(F.col("n_seq") * F.lit(0.8))))
+    """W3 + W5 on the scaled daily series: lags -> target, with is_train.
+
+    A daily series holds one row per day, so one window over the series does.
+    """
+    w = Window.partitionBy(*series).orderBy(date_col)
+    lags = (minmax(daily, series)
+            .withColumns({f"lag_{j}": F.lag("y_scaled", j).over(w) for j in range(1, lookback + 1)})
+            .withColumn("seq_pos", F.row_number().over(w))
+            .withColumn("n_seq", F.count(F.lit(1)).over(Window.partitionBy(*series)) - lookback)
+            .filter(F.col("seq_pos") > lookback))
+    return lags.withColumn("is_train", (F.col("seq_pos") - lookback) <=
+                           F.floor(F.col("n_seq") * F.lit(0.8)))
 
 
 def _solver(series: list[str], lookback: int, ridge: float):
@@ -233,7 +239,7 @@ def rollup(fc: DataFrame, series: list[str]) -> DataFrame:
 def forecast_all(df: DataFrame, series: list[str], value: str = "downtime_min",
                  horizon: int = HORIZON, date_col: str = "production_date") -> DataFrame:
     """M23 long result (series, step, ds, model, yhat, lower, upper)."""
-    daily = daily_series(df, series, value, date_col)
+    daily = write_table(daily_series(df, series, value, date_col), "m23-daily")
     gate = daily.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
     ar_ok = gate.filter(F.col("_n") >= max(MIN_AR_ROWS, LOOKBACK + 5)).select(*series)
     coefs = fit_ar(daily.join(ar_ok, series, "left_semi"), series, date_col=date_col)
@@ -277,7 +283,8 @@ def _changepoint_model(series: list[str], horizon: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         day0 = pdf["ds"].iloc[0]
-        days = np.array([(d - day0).days for d in pdf["ds"]], dtype="float64")
+        days = pdf["ds"].to_numpy("datetime64[D]").astype("float64")
+        days = days - days[0]
         y = pdf["y"].to_numpy(dtype="float64")
         span = max(days[-1], 1.0)
         scale = max(np.abs(y).max(), 1e-12)
@@ -302,7 +309,7 @@ def _changepoint_model(series: list[str], horizon: int):
         yhat = _design(all_days / span, cps, all_days) @ beta * scale
         half = Z80 * resid_sd * scale
         out = pd.DataFrame({
-            "ds": [day0 + pd.Timedelta(days=int(d)) for d in all_days],
+            "ds": (np.datetime64(day0, "D") + all_days.astype("timedelta64[D]")).astype(object),
             "step": np.r_[np.zeros(len(days), dtype="int32"),
                           np.arange(1, horizon + 1, dtype="int32")],
             "yhat": yhat, "lower": yhat - half, "upper": yhat + half})

@@ -228,6 +228,27 @@ def m16_ar_coefficients(fx):
     return forecast.fit_ar(_daily(fx), SERIES)
 
 
+@query("m16_normal_equations", f"""
+WITH {_DAILY.strip()}
+SELECT machine_id, COUNT(*) - 10 AS n_rows, CAST(floor(0.8 * (COUNT(*) - 10)) AS BIGINT) AS n_train, TRUE AS solved
+FROM d GROUP BY machine_id HAVING floor(0.8 * (COUNT(*) - 10)) >= 1""", P)
+def m16_normal_equations(fx):
+    """The fitted residuals of the training rows are orthogonal to the lags, up
+    to the ridge's share of the coefficients."""
+    rows = write_table(forecast.ar_training_rows(_daily(fx), SERIES), "m16-rows")
+    lags = [F.col(f"lag_{j}") for j in range(forecast.LOOKBACK, 0, -1)]
+    fit = forecast.fit_ar(_daily(fx), SERIES)
+    r = rows.join(fit, "machine_id")
+    b = [F.element_at("coef", j + 1) for j in range(forecast.LOOKBACK)]
+    resid = F.col("y_scaled") - F.col("intercept") - sum((x * c for x, c in zip(lags, b)), F.lit(0.0))
+    sums = [F.abs(F.sum(F.when(F.col("is_train"), x * resid))) for x in [F.lit(1.0), *lags]]
+    return (r.groupBy("machine_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_train").alias("n_train"),
+                                        F.greatest(*sums).alias("_g"), F.first("coef").alias("_b"))
+            .filter("n_train >= 1")
+            .select("machine_id", "n_rows", "n_train", (F.col("_g") <= 1e-6 * (1 + F.aggregate(
+                "_b", F.lit(0.0), lambda a, x: a + F.abs(x)))).alias("solved")))
+
+
 _FIXED_AR = f"""
 WITH RECURSIVE {_DAILY.strip()},
 s AS (SELECT *, min(y) OVER (PARTITION BY machine_id) AS lo,
@@ -355,6 +376,14 @@ def m23_forecast_all(fx):
     return forecast.forecast_all(fx.production, SERIES)
 
 
+@query("m23_trend_rows", f"""
+WITH {_DAILY.strip()},{_TREND.format(history="")}
+SELECT machine_id, step, ds, yhat, yhat - half AS lower, yhat + half AS upper FROM tw""", P)
+def m23_trend_rows(fx):
+    """The trend rows of the combined forecast."""
+    return forecast.forecast_all(fx.production, SERIES).filter("model = 'trend_weekday'").drop("model")
+
+
 # ---------------------------------------------------------------- C3
 @query("c3_insight_bundle")
 def c3_insight_bundle(fx):
