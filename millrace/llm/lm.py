@@ -7,7 +7,9 @@ Passes over the documents:
    public subword vocabulary, the corpus frequency of every subword id.
 2. The model predicts the next of ``classes`` symbols: the most frequent ids
    one by one, all others as one symbol whose ids are told apart by their
-   corpus frequency, so every id has a probability. One layer of causal
+   corpus frequency, so every id has a probability. The softmax has two levels:
+   the ``head`` most frequent symbols and "tail", then the symbols of the tail,
+   which only tokens of the tail need. One layer of causal
    self-attention with a bias for each distance reads up to 2 * ``stride``
    symbols. It is trained in numpy by data-parallel averaging: every training
    text gives stretches of itself at an even rate, each task improves the
@@ -151,11 +153,19 @@ def frequent_counts(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.nd
 
 # ------------------------------------------------------------------- model
 
+def _log_softmax(h: np.ndarray, u: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
+    o = h @ u
+    o += b
+    got = o[np.arange(len(target)), target]
+    np.exp(o, out=o)
+    return got - np.log(o.sum(1))
+
+
 class Model:
     """Weights as one run of float32 numbers, and the meaning of ids."""
 
-    def __init__(self, id_counts: np.ndarray, classes: int, dim: int, stride: int, seed: int):
-        self.k, self.d, self.s = classes, dim, stride
+    def __init__(self, id_counts: np.ndarray, classes: int, dim: int, stride: int, seed: int, head: int):
+        self.k, self.d, self.s, self.tail = classes, dim, stride, min(head, classes) - 1
         top = np.argsort(-id_counts, kind="stable")[:classes - 1]
         self.symbol = np.full(END + 1, classes - 1, dtype=np.int32)
         self.symbol[top] = np.arange(classes - 1)
@@ -164,12 +174,15 @@ class Model:
         seen = np.bincount(self.symbol, id_counts, minlength=classes) + 1.0
         k1 = classes + 1
         self.shapes = {"q": (k1, dim), "k": (k1, dim), "v": (k1, dim), "r": (k1, dim),
-                       "u": (dim, classes), "b": (classes,), "far": (2 * stride,)}
+                       "u": (dim, self.tail + 1), "b": (self.tail + 1,), "far": (2 * stride,),
+                       "u2": (dim, classes - self.tail), "b2": (classes - self.tail,)}
         rng = np.random.default_rng(seed)
         flat = [rng.normal(0, 0.3 if n in "qkvr" else 0.05, s).ravel() for n, s in self.shapes.items()]
         self.flat = np.concatenate(flat).astype(np.float32)
         w = self.view(self.flat)
-        w["b"][:] = np.log(seen / seen.sum())
+        first = np.append(seen[:self.tail], seen[self.tail:].sum())
+        w["b"][:] = np.log(first / first.sum())
+        w["b2"][:] = np.log(seen[self.tail:] / seen[self.tail:].sum())
         w["far"][:] = -0.1 * np.arange(2 * stride)
 
     def view(self, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -204,7 +217,8 @@ class Model:
         return np.concatenate((grid[own - 1], grid[own]), axis=1), np.where(place >= 0, symbols[place], 0), place
 
     def forward(self, w: dict, x: np.ndarray) -> tuple:
-        """Log probabilities of the next symbol at the second half of windows x."""
+        """Scores of the first softmax at the second half of windows x, their log
+        sums and what the gradient needs."""
         s = self.s
         q, k, v = w["q"][x[:, s:]], w["k"][x], w["v"][x]
         gap = (np.arange(s)[:, None] + s) - np.arange(2 * s)[None, :]
@@ -221,12 +235,38 @@ class Model:
         norm = np.log(np.exp(out).sum(1))
         return q, k, v, a, h, gap, out, norm
 
-    def log_prob(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, batch: int = 512) -> np.ndarray:
-        w, out = self.view(flat), np.zeros(y.shape, dtype=np.float32)
+    def log_prob(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, batch: int = 128) -> np.ndarray:
+        """``forward`` for scoring: only the targets' log probabilities, batches
+        that stay in cache, and one bound for all scores instead of each row's
+        largest, so that no exponential overflows."""
+        s, w = self.s, {n: np.ascontiguousarray(v) for n, v in self.view(flat).items()}
+        gap = (np.arange(s)[:, None] + s) - np.arange(2 * s)[None, :]
+        far = np.where(gap >= 0, w["far"][np.maximum(gap, 0)], -1e9).astype(np.float32)
+        longest = [np.sqrt((w[n] ** 2).sum(1).max()) for n in "qk"]
+        far -= np.float32(max(0.0, longest[0] * longest[1] + w["far"].max() - 60))
+        b, b2 = (w[v] - np.float32(max(0.0, (np.abs(w[u]).sum(0) + w[v]).max() - 60))
+                 for u, v in (("u", "b"), ("u2", "b2")))
+        padding = np.zeros(self.k + 1, dtype=np.float32)
+        padding[self.k] = -1e9
+        out = np.empty(y.shape, dtype=np.float32)
         for lo in range(0, len(x), batch):
-            *_, z, norm = self.forward(w, x[lo:lo + batch])
-            t = y[lo:lo + batch].ravel()
-            out[lo:lo + batch] = (z[np.arange(len(t)), t] - norm).reshape(-1, self.s)
+            keys, t = x[lo:lo + batch], y[lo:lo + batch].ravel()
+            now = keys[:, s:]
+            z = np.matmul(w["q"].take(now, 0), w["k"].take(keys, 0).transpose(0, 2, 1))
+            hidden = padding.take(keys)
+            hidden[:, s] = 0
+            z += far
+            z += hidden[:, None, :]
+            np.exp(z, out=z)
+            h = np.matmul(z, w["v"].take(keys, 0))
+            h /= z.sum(2)[:, :, None]
+            h += w["r"].take(now, 0)
+            np.tanh(h, out=h)
+            h = h.reshape(-1, self.d)
+            got = _log_softmax(h, w["u"], b, np.minimum(t, self.tail))
+            rare = np.flatnonzero(t >= self.tail)
+            got[rare] += _log_softmax(h[rare], w["u2"], b2, t[rare] - self.tail)
+            out[lo:lo + batch] = got.reshape(-1, s)
         return out
 
     def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -234,21 +274,37 @@ class Model:
         q, k, v, a, h, gap, z, norm = self.forward(w, x)
         grad = np.zeros_like(flat)
         g = self.view(grad)
+        flat_h, t, each = h.reshape(-1, self.d), y.ravel(), (used.ravel() / max(1, used.sum())).astype(np.float32)
         dz = np.exp(z - norm[:, None])
-        dz[np.arange(len(dz)), y.ravel()] -= 1
-        dz *= (used.ravel() / max(1, used.sum()))[:, None].astype(np.float32)
-        g["u"][:] = h.reshape(-1, self.d).T @ dz
+        dz[np.arange(len(dz)), np.minimum(t, self.tail)] -= 1
+        dz *= each[:, None]
+        g["u"][:] = flat_h.T @ dz
         g["b"][:] = dz.sum(0)
-        dh = (dz @ w["u"].T).reshape(h.shape) * (1 - h * h)
-        np.add.at(g["r"], x[:, s:].ravel(), dh.reshape(-1, self.d))
+        dh = dz @ w["u"].T
+        rare = np.flatnonzero((t >= self.tail) & used.ravel())
+        z2 = flat_h[rare] @ w["u2"] + w["b2"]
+        dz2 = np.exp(z2 - z2.max(1, keepdims=True))
+        dz2 /= dz2.sum(1, keepdims=True)
+        dz2[np.arange(len(rare)), t[rare] - self.tail] -= 1
+        dz2 *= each[rare][:, None]
+        g["u2"][:] = flat_h[rare].T @ dz2
+        g["b2"][:] = dz2.sum(0)
+        dh[rare] += dz2 @ w["u2"].T
+        dh = dh.reshape(h.shape) * (1 - h * h)
+        self._scatter(g["r"], x[:, s:], dh)
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        np.add.at(g["v"], x.ravel(), np.matmul(a.transpose(0, 2, 1), dh).reshape(-1, self.d))
+        self._scatter(g["v"], x, np.matmul(a.transpose(0, 2, 1), dh))
         ds = a * (da - (da * a).sum(2, keepdims=True))
-        np.add.at(g["far"], np.maximum(gap, 0).ravel(), (ds.sum(0) * (gap >= 0)).ravel())
-        np.add.at(g["q"], x[:, s:].ravel(), np.matmul(ds, k).reshape(-1, self.d))
-        np.add.at(g["k"], x.ravel(), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, self.d))
+        g["far"][:] = np.bincount(np.maximum(gap, 0).ravel(), (ds.sum(0) * (gap >= 0)).ravel(), minlength=2 * s)
+        self._scatter(g["q"], x[:, s:], np.matmul(ds, k))
+        self._scatter(g["k"], x, np.matmul(ds.transpose(0, 2, 1), q))
         return grad
 
+    def _scatter(self, table: np.ndarray, symbols: np.ndarray, values: np.ndarray) -> None:
+        """Add the values' rows to the table rows of their symbols."""
+        cell = (symbols.reshape(-1, 1).astype(np.int64) * self.d + np.arange(self.d)).ravel()
+        table += np.bincount(cell, values.ravel(), minlength=table.size).reshape(table.shape)
+
     def improve(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, used: np.ndarray, rate: float,
                 least_steps: int, seed: int, batch: int = 64) -> np.ndarray:
         """Adam over all windows, at least once and until ``least_steps`` steps."""
@@ -269,9 +325,9 @@ class Model:
         return flat
 
 
-def _sequences(s: Scan, path: str, symbol: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(subword ids with an END after every text, first) of a scan."""
-    _, words, back = _unique_words(s)
+def _sequences(s: Scan, words: list[bytes], back: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(subword ids with an END after every text, first) of a scan whose
+    distinct words are known."""
     ids, first = encode_words(words, path)
     size = np.diff(first)[back]
     ends = np.cumsum(size)
@@ -299,7 +355,7 @@ def train(docs: DataFrame, model: Model, path: str, rounds: int, stretch: int, e
             windows = []
             for b in batches:
                 for _, _, s in scan(b["text"].tolist(), NON_SPACE):
-                    ids, first = _sequences(s, path)
+                    ids, first = _sequences(s, *_unique_words(s)[1:], path)
                     x, y, place = model.blocks(model.symbol[ids], first)
                     # a stretch ends anywhere: its END is not a target
                     ends = np.zeros(len(ids), dtype=bool)
@@ -324,7 +380,7 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long, l
           "score double, rare array<binary>")
 
 
-def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 128, dim: int = 16, stride: int = 12,
+def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int = 128, dim: int = 16, stride: int = 12,
           frequent: int = 500_000, rounds: int = 2, stretch: int = 320, every: int = 8192,
           rate: float = 0.02, least_steps: int = 200, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -341,7 +397,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 128, dim: int
     tokens, distinct = whole["n"] + texts, whole["v"] + (texts > 0)
     ids = subword_counts(counts, path)
     ids[END] = texts
-    model = Model(ids, classes, dim, stride, seed)
+    model = Model(ids, classes, dim, stride, seed, head)
     flat = train(docs, model, path, rounds, stretch, every, rate, least_steps, seed)
     known_hash, known_count, least = frequent_counts(counts, frequent)
     table = spark.sparkContext.broadcast((model, flat, known_hash, known_count))
@@ -354,7 +410,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 128, dim: int
         for b in batches:
             doc_ids, held = b["doc_id"].astype("Int64"), b["held_out"]
             for lo, hi, s in scan(b["text"].tolist(), NON_SPACE):
-                value, _, back = _unique_words(s)
+                value, words, back = _unique_words(s)
                 at = np.minimum(np.searchsorted(hashes, value), max(0, len(hashes) - 1))
                 hit = hashes[at] == value if len(hashes) else np.zeros(len(value), bool)
                 of = np.repeat(np.arange(hi - lo), np.diff(s.first))
@@ -362,7 +418,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 128, dim: int
                 known = np.bincount(of, hit[back], minlength=hi - lo)
                 rare = np.flatnonzero(~hit[back])
                 cut = np.searchsorted(rare, s.first)
-                ids, first = _sequences(s, path)
+                ids, first = _sequences(s, words, back, path)
                 symbols = model.symbol[ids]
                 x, y, place = model.blocks(symbols, first)
                 each = model.within[ids].astype(np.float64)

@@ -37,7 +37,7 @@ def model(seed=1, classes=12):
     counts = np.zeros(lm.END + 1)
     counts[:40] = np.arange(40, 0, -1)
     counts[lm.END] = 5
-    return lm.Model(counts, classes, 4, 3, seed)
+    return lm.Model(counts, classes, 4, 3, seed, 7)
 
 
 def test_windows_score_each_token_once_and_only_see_the_past():
@@ -59,8 +59,9 @@ def test_windows_score_each_token_once_and_only_see_the_past():
             s[[j == 0 and t >= m.s for j in past]] = -1e9
             p = np.exp(s - s.max())
             h = np.tanh((p / p.sum()) @ w["v"][seq[past]] + w["r"][seq[t]])
-            z = h @ w["u"] + w["b"]
-            want = z[m.symbol[ids[a + t]]] - np.log(np.exp(z).sum())
+            z, z2, y_t = h @ w["u"] + w["b"], h @ w["u2"] + w["b2"], m.symbol[ids[a + t]]
+            want = z[min(y_t, 6)] - np.log(np.exp(z).sum())
+            want += z2[y_t - 6] - np.log(np.exp(z2).sum()) if y_t >= 6 else 0
             assert abs(want - got[place == a + t][0]) < 1e-4
 
 
