@@ -66,8 +66,10 @@ def text_features(texts: list) -> np.ndarray:
         text_end = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 if isinstance(t, str) else 1
                               for t in texts[lo:hi]])
         doc = np.repeat(np.arange(m), np.diff(np.concatenate(([0], text_end))))[:len(raw)]
-        size = np.maximum(np.bincount(doc, minlength=m), 1)
-        x = np.bincount(doc * N_KINDS + _KIND[raw], minlength=m * N_KINDS).reshape(m, N_KINDS) / size[:, None]
+        own = np.ones(len(raw), dtype=bool)
+        own[text_end[:-1] - 1] = False    # the line feeds between texts
+        size = np.maximum(np.bincount(doc[own], minlength=m), 1)
+        x = np.bincount(doc[own] * N_KINDS + _KIND[raw[own]], minlength=m * N_KINDS).reshape(m, N_KINDS) / size[:, None]
         words = np.diff(s.first)
         n = np.maximum(words, 1)
         of = np.repeat(np.arange(m), words)
