@@ -14,20 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, jaccard, mixing, pii, quality
-from millrace.llm.common import materialize, small_side, table
-from millrace.session import ship_package
+from millrace.llm.common import materialize, prepare, small_side, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier accepts."""
-    ship_package(spark)
+    prepare(spark)
     judged = quality.score(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
     return quality.without(docs, judged.filter("NOT kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     judged = materialize(jaccard.join_groups(docs).select("doc_id", "text_key", "kept"), "judged")
     left = quality.without(docs, judged.filter("NOT kept"))
     again = small_side(materialize(
@@ -43,20 +42,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    ship_package(spark)
+    prepare(spark)
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return quality.without(docs, found.filter("contaminated").select("doc_id", "text_key"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts masked."""
-    ship_package(spark)
+    prepare(spark)
     return pii.mask(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix_sources(docs)
 
 

@@ -7,22 +7,33 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Largest number of rows that ``small_side`` marks for broadcast; its callers
 #: pass rows of at most two numbers, so this bounds a broadcast to some MB.
 BROADCAST_ROWS = 200_000
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: bytes of a batch of rows that a Python worker gets at once
+BATCH_BYTES = 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the queries and stages need of a session: the package on the
+    executors, and batches bounded by bytes, as texts may be very long."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` under the session's shared checkpoint folder and reread it.
 
     Cuts the lineage once (``checkpoint()`` would run the plan twice) and
-    leaves a table that outlives any executor.
+    leaves a table that outlives any executor. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

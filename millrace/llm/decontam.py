@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` cuts the documents into shards of about 2 MB of text and
+``build_index`` cuts the documents into shards of about 1 MB of text and
 stores, for each shard, its sorted term dictionary, every term's posting list
 (word positions over the shard, one free place between documents) and the
 shard's documents. A shard is a row, so a frequent term is spread over all
@@ -67,7 +67,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                 made += 1
 
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                                   F.xxhash64("text").alias("text_key")).mapInPandas(build, INDEX), "postings")
+                                   F.xxhash64("text").alias("text_key")).mapInPandas(build, INDEX), "postings",
+                       **{"parquet.block.size": str(16 << 20)})  # rows are about 3 MB
 
 
 class Windows:

@@ -49,6 +49,8 @@ from .textscan import NON_SPACE, Scan, scan
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 LONGEST = 64
+#: larger runs repeat fewer words
+RUN_BYTES = 2_000_000
 _GROUPS = 32
 _encoders: dict[str, tuple] = {}
 
@@ -97,7 +99,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over the training texts of ``docs`` (held_out, text)."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, _, s in scan(b["text"].tolist(), NON_SPACE):
+            for _, _, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=RUN_BYTES):
                 _, words, back = _unique_words(s)
                 yield pd.DataFrame({"word": words, "c": np.bincount(back, minlength=len(words))})
 
@@ -354,7 +356,7 @@ def train(docs: DataFrame, model: Model, path: str, rounds: int, stretch: int, e
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             windows = []
             for b in batches:
-                for _, _, s in scan(b["text"].tolist(), NON_SPACE):
+                for _, _, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=RUN_BYTES):
                     ids, first = _sequences(s, *_unique_words(s)[1:], path)
                     x, y, place = model.blocks(model.symbol[ids], first)
                     # a stretch ends anywhere: its END is not a target
@@ -409,7 +411,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             doc_ids, held = b["doc_id"].astype("Int64"), b["held_out"]
-            for lo, hi, s in scan(b["text"].tolist(), NON_SPACE):
+            for lo, hi, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=RUN_BYTES):
                 value, words, back = _unique_words(s)
                 at = np.minimum(np.searchsorted(hashes, value), max(0, len(hashes) - 1))
                 hit = hashes[at] == value if len(hashes) else np.zeros(len(value), bool)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: bytes scanned at once; a longer text is scanned alone
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -89,8 +89,9 @@ class Scan:
         return self.data[self.start[i]:self.end[i]]
 
 
-def scan(texts: list, is_word: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Scan]]:
-    """Yield (from, to, Scan) over runs of texts of about SLICE_BYTES.
+def scan(texts: list, is_word: np.ndarray, lower: bool = True,
+         run_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, Scan]]:
+    """Yield (from, to, Scan) over runs of texts of about ``run_bytes``.
 
     A null text counts as empty. Texts are joined with a line feed, which no
     word contains.
@@ -98,7 +99,7 @@ def scan(texts: list, is_word: np.ndarray, lower: bool = True) -> Iterator[tuple
     lo, parts, size = 0, [], 0
     for i, t in enumerate(texts):
         b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-        if parts and size + len(b) > SLICE_BYTES:
+        if parts and size + len(b) > run_bytes:
             yield lo, i, _scan(parts, is_word, lower)
             lo, parts, size = i, [], 0
         parts.append(b)
