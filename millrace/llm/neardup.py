@@ -10,7 +10,11 @@
    more than the list holds. All lists that link are then enlarged to the
    node's whole linked group: groups are connected components of the threshold
    edges, and all pairs of a group are compared in tiles of two slices, which
-   return sums, never pairs. A group's links are thus exact.
+   return sums, never pairs. A group's links are thus exact. Links that leave
+   the group are searched by the saturated nodes in the same way (buckets, then
+   rounds), but with lists that hold only nodes outside their own group; groups
+   that link become one, and nodes whose new lists are full of links search
+   again, until no list is full or no link is new.
 4. The audit draws ``audit`` nodes by a seeded hash, compares them with all
    nodes and counts the linked pairs that are in one group. While the recall
    is under ``recall``, further buckets and rounds follow (at most ``tries``).
@@ -48,17 +52,18 @@ def _usable(c: Column) -> Column:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """One row per distinct usable vector: node, vec_id (smallest), copies, vec
-    (float64 components as bytes)."""
+    """One row per distinct usable vector: node, own (its group, at first the
+    node), vec_id (smallest), copies, vec (float64 components as bytes)."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["vec"] = [(np.asarray(v, dtype=np.float64) + 0.0).tobytes() for v in b["embedding"]]
-            yield b[["node", "vec_id", "copies", "vec"]]
+            b["own"] = b["node"]
+            yield b[["node", "own", "vec_id", "copies", "vec"]]
 
     return materialize(
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
-        .mapInPandas(pack, "node long, vec_id long, copies long, vec binary"), "vectors")
+        .mapInPandas(pack, "node long, own long, vec_id long, copies long, vec binary"), "vectors")
 
 
 def _unit(vecs: pd.Series, dtype=np.float32) -> np.ndarray:
@@ -67,18 +72,18 @@ def _unit(vecs: pd.Series, dtype=np.float32) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(dtype)
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of the k largest of each row, the diagonal left out."""
-    np.fill_diagonal(sims, -2)
+def _best(sims: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the k largest of each row; -2 for nodes of the own group."""
+    sims[own[:, None] == own] = -2
     k = min(k, len(sims) - 1)
     at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     return at, np.take_along_axis(sims, at, 1)
 
 
-def _lists(node: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    at, s = _best(sims, k)
+def _lists(node: np.ndarray, own: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
+    at, s = _best(sims, own, k)
     ids = node[at]
-    return pd.DataFrame({"u": node, "near": [[{"s": float(a), "v": int(b)} for a, b in zip(x, y)]
+    return pd.DataFrame({"u": node, "near": [[{"s": float(a), "v": int(b)} for a, b in zip(x, y) if a > -2]
                                              for x, y in zip(s, ids)]})
 
 
@@ -89,7 +94,8 @@ def _lengths(vecs: pd.Series) -> Iterator[np.ndarray]:
 
 
 def bucket_lists(nodes: DataFrame, total: int, tables: int, k: int, seed: int) -> DataFrame:
-    """(u, near) from blocks of random-projection buckets, several times."""
+    """(u, near) from blocks of random-projection buckets, several times; a list
+    holds only nodes of another group ``own``."""
     bits = max(0, int(np.ceil(np.log2(max(1, total / (BLOCK / 2))))))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,9 +108,11 @@ def bucket_lists(nodes: DataFrame, total: int, tables: int, k: int, seed: int) -
                     z = x @ plane
                     code = (z[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
                     yield pd.DataFrame({"key": (code << 24) + (t << 16) + x.shape[1] % 65536, "along": z[:, bits].astype(float),
-                                        "node": part["node"].to_numpy(), "vec": part["vec"].to_numpy()})
+                                        "node": part["node"].to_numpy(), "own": part["own"].to_numpy(),
+                                        "vec": part["vec"].to_numpy()})
 
-    placed = nodes.select("node", "vec").mapInPandas(keys, "key long, along double, node long, vec binary")
+    placed = nodes.select("node", "own", "vec").mapInPandas(
+        keys, "key long, along double, node long, own long, vec binary")
     # a bucket is cut into blocks along one more projection: within slices that
     # hash spreads, so no task sorts a whole bucket
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +127,7 @@ def bucket_lists(nodes: DataFrame, total: int, tables: int, k: int, seed: int) -
                 h = g.iloc[lo:lo + 2 * BLOCK]
                 if len(h) > 1:
                     x = _unit(h["vec"])
-                    out.append(_lists(h["node"].to_numpy(), x @ x.T, k))
+                    out.append(_lists(h["node"].to_numpy(), h["own"].to_numpy(), x @ x.T, k))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "near": []})
 
     bins = F.pmod(F.xxhash64("key", "part", "part2"), F.lit(max(1, total * tables // 2_000)))
@@ -134,30 +142,33 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("u").agg(F.slice(best, 1, k).alias("near"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, total: int, k: int, seed: int) -> DataFrame:
-    """One round: compare the neighbours and reverse neighbours of every node."""
-    out = graph.select("u", F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"))
+def descend(graph: DataFrame, nodes: DataFrame, total: int, k: int, seed: int,
+            known: DataFrame | None = None) -> DataFrame:
+    """One round: compare the neighbours and reverse neighbours of every node,
+    also those that the lists ``known`` hold."""
+    lists = graph if known is None else graph.unionByName(known)
+    out = lists.select("u", F.explode("near").alias("x")).select("u", F.col("x.v").alias("v")).distinct()
     # a node takes part in at most k reverse lists, drawn by hash; the rest meet
     # it through their own lists
     rank = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(seed), "u", "v"))
     back = (out.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("_r", F.row_number().over(rank))
             .filter(F.col("_r") <= k).drop("_r"))
-    met = out.unionByName(back).unionByName(graph.select("u", F.col("u").alias("v"))).distinct()
-    met = met.join(nodes.select(F.col("node").alias("v"), "vec"), "v")
+    met = out.unionByName(back).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
+    met = met.join(nodes.select(F.col("node").alias("v"), "own", "vec"), "v")
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         pdf = pdf.sort_values(["u", "v"], ignore_index=True)
         u = pdf["u"].to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
-        v = pdf["v"].to_numpy()
+        v, own = pdf["v"].to_numpy(), pdf["own"].to_numpy()
         seen: dict[int, dict[int, float]] = {}
         for lo, hi in zip(starts[:-1], starts[1:]):
             if hi - lo > 1:
                 x = _unit(pdf["vec"].iloc[lo:hi])
-                at, s = _best(x @ x.T, k)
+                at, s = _best(x @ x.T, own[lo:hi], k)
                 for i, (cols, vals) in enumerate(zip(v[lo:hi][at].tolist(), s.tolist())):
-                    seen.setdefault(int(v[lo + i]), {}).update(zip(cols, vals))
+                    seen.setdefault(int(v[lo + i]), {}).update((c, a) for c, a in zip(cols, vals) if a > -2)
         for node, near in seen.items():
             best = sorted(near.items(), key=lambda p: -p[1])[:k]
             out.append((node, [{"s": s, "v": w} for w, s in best]))
@@ -189,6 +200,38 @@ def true_edges(graph: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
     return materialize(both.mapInPandas(decide, "a long, b long"), "true-edges")
 
 
+def searched(graph: DataFrame | None, nodes: DataFrame, total: int, tables: int, rounds: int, k: int, seed: int,
+             known: DataFrame | None = None) -> DataFrame:
+    """The lists of ``graph`` after further buckets and rounds."""
+    more = bucket_lists(nodes, total, tables, k, seed)
+    graph = materialize(merged(more if graph is None else graph.unionByName(more), k), "graph")
+    for r in range(rounds):
+        graph = descend(graph, nodes, total, k, seed + r, known)
+    return graph
+
+
+def linked_groups(graph: DataFrame, nodes: DataFrame, t: float, k: int, tables: int, rounds: int, seed: int) -> DataFrame:
+    """(id, component) by the links of ``graph`` and those that its full lists leave out."""
+    edges, lists = true_edges(graph, nodes, t), graph
+    while True:
+        groups = materialize(connected_components(edges), "groups")
+        # a pair is left out only if both lists are full of links
+        full = lists.filter((F.size("near") >= k) & (F.array_min(F.transform("near", lambda x: x["s"])) >= t - 1e-4))
+        rest = materialize(nodes.drop("own").join(full.select(F.col("u").alias("node")), "node").join(
+            groups.select(F.col("id").alias("node"), F.col("component").alias("own")), "node", "left")
+            .withColumn("own", F.coalesce("own", "node")), "full")
+        total = rest.count()
+        if not total:
+            return groups
+        known = graph.join(full.select("u"), "u", "left_semi")
+        seed += rounds + 1
+        lists = searched(None, rest, total, tables, rounds, k, seed, known)
+        new = true_edges(lists, rest, t)
+        if new.isEmpty():
+            return groups
+        edges = edges.unionByName(new)
+
+
 def _count_bin(t: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -243,11 +286,8 @@ def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds:
     total = nodes.count()
     graph = None
     for i in range(tries):
-        more = bucket_lists(nodes, total, tables, k, seed + i)
-        graph = materialize(merged(more if graph is None else graph.unionByName(more), k), "graph")
-        for r in range(rounds):
-            graph = descend(graph, nodes, total, k, seed + 10 * i + r)
-        groups = materialize(connected_components(true_edges(graph, nodes, t)), "groups")
+        graph = searched(graph, nodes, total, tables, rounds, k, seed + 1000 * i)
+        groups = linked_groups(graph, nodes, t, k, tables, rounds, seed + 1000 * i)
         reached = audited(nodes, groups, t, audit, seed)
         if reached >= recall:
             break

@@ -124,6 +124,19 @@ def test_embeddings_match_brute_force(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == embed_brute(rows)
 
 
+def test_links_between_full_lists(spark):
+    # clusters of 20 whose lists hold only the own cluster; neighbours on a ring link at 0.97
+    rng, rows = np.random.default_rng(11), []
+    step = np.arccos(0.97)
+    for c in range(4):
+        centre = np.zeros(16)
+        centre[:2] = np.cos(c * step), np.sin(c * step)
+        for _ in range(20):
+            rows.append((len(rows), (centre + 0.002 * rng.normal(size=16)).astype(np.float32).tolist(), c))
+    got = neardup.link(table(spark, rows, schema=VECS)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == embed_brute(rows)
+
+
 def test_embeddings_empty(spark):
     assert neardup.link(spark.createDataFrame([], VECS)).count() == 0
     assert neardup.link(spark.createDataFrame([(1, None, 0)], VECS)).collect()[0].n_links == 0
