@@ -15,9 +15,17 @@
    rounds), but with lists that hold only nodes outside their own group; groups
    that link become one, and nodes whose new lists are full of links search
    again, until no list is full or no link is new.
-4. The audit draws ``audit`` nodes by a seeded hash, compares them with all
-   nodes and counts the linked pairs that are in one group. While the recall
-   is under ``recall``, further buckets and rounds follow (at most ``tries``).
+   The number of bucket tables follows from their bits, so that at any size a
+   pair at ``t`` shares no bucket with probability ``miss``; rounds follow until
+   under one in a hundred lists changes.
+4. The audit draws ``audit`` nodes of every class of group sizes (nodes without
+   a group are a class) by a seeded hash and compares them with all nodes. The
+   recall is a mean over nodes, not pairs, taken for each class of true numbers
+   of links, and the least of these counts. The draw grows until ``seen`` linked
+   nodes outside large groups were met, all nodes were drawn or it is 64 times
+   as large. While the recall is under ``recall`` or too few linked nodes were
+   met, further buckets and rounds follow (at most ``tries``); if the recall
+   stays under ``recall``, all pairs are compared.
 
 Candidates are found in single precision; a link is decided in double
 precision on the given components, at cosine >= ``t``.
@@ -40,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_side
 from .graph import connected_components
-from .jaccard import in_bins, in_tiles, tiles_of
+from .jaccard import in_bins, in_tiles, roots, tiles_of
 
 BLOCK = 256
 NEIGHBOURS = "array<struct<s: float, v: long>>"
@@ -93,10 +101,21 @@ def _lengths(vecs: pd.Series) -> Iterator[np.ndarray]:
         yield np.flatnonzero(size == n)
 
 
+def tables_for(bits: int, t: float, miss: float, least: int) -> int:
+    """Bucket tables of ``bits`` random planes after which a pair at cosine ``t``
+    shared no bucket with probability ``miss`` at most."""
+    together = (1 - np.arccos(min(1.0, t)) / np.pi) ** bits
+    return least if together >= 1 else max(least, int(np.ceil(np.log(miss) / np.log1p(-together))))
+
+
+def bucket_bits(total: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, total / (BLOCK / 2))))))
+
+
 def bucket_lists(nodes: DataFrame, total: int, tables: int, k: int, seed: int) -> DataFrame:
     """(u, near) from blocks of random-projection buckets, several times; a list
     holds only nodes of another group ``own``."""
-    bits = max(0, int(np.ceil(np.log2(max(1, total / (BLOCK / 2))))))
+    bits = bucket_bits(total)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -116,8 +135,8 @@ def bucket_lists(nodes: DataFrame, total: int, tables: int, k: int, seed: int) -
     # a bucket is cut into blocks along one more projection: within slices that
     # hash spreads, so no task sorts a whole bucket
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    cut = placed.join(sizes, "key").withColumn("part", F.floor(
-        (F.col("along") + 1) / 2 * F.ceil(F.col("n") / BLOCK)).cast("long")).withColumn(
+    cut = placed.join(sizes, "key").withColumn("part", F.when(F.col("n") <= 2 * BLOCK, 0).otherwise(F.floor(
+        (F.col("along") + 1) / 2 * F.ceil(F.col("n") / BLOCK))).cast("long")).withColumn(
         "part2", F.when(F.col("n") > 4 * BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (4 * BLOCK)))).otherwise(0))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,17 +219,23 @@ def true_edges(graph: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
     return materialize(both.mapInPandas(decide, "a long, b long"), "true-edges")
 
 
-def searched(graph: DataFrame | None, nodes: DataFrame, total: int, tables: int, rounds: int, k: int, seed: int,
-             known: DataFrame | None = None) -> DataFrame:
-    """The lists of ``graph`` after further buckets and rounds."""
-    more = bucket_lists(nodes, total, tables, k, seed)
+def searched(graph: DataFrame | None, nodes: DataFrame, total: int, t: float, miss: float, tables: int, rounds: int,
+             k: int, seed: int, known: DataFrame | None = None) -> DataFrame:
+    """The lists of ``graph`` after further buckets and at least ``rounds`` rounds."""
+    more = bucket_lists(nodes, total, tables_for(bucket_bits(total), t, miss, tables), k, seed)
     graph = materialize(merged(more if graph is None else graph.unionByName(more), k), "graph")
-    for r in range(rounds):
-        graph = descend(graph, nodes, total, k, seed + r, known)
-    return graph
+    done = 0
+    while True:
+        new = descend(graph, nodes, total, k, seed + done, known)
+        changed = new.join(graph.withColumnRenamed("near", "_near"), "u", "left").filter(
+            ~F.col("near").eqNullSafe(F.col("_near"))).count()
+        graph, done = new, done + 1
+        if done >= rounds and 100 * changed <= total:
+            return graph
 
 
-def linked_groups(graph: DataFrame, nodes: DataFrame, t: float, k: int, tables: int, rounds: int, seed: int) -> DataFrame:
+def linked_groups(graph: DataFrame, nodes: DataFrame, t: float, miss: float, k: int, tables: int, rounds: int,
+                  seed: int) -> DataFrame:
     """(id, component) by the links of ``graph`` and those that its full lists leave out."""
     edges, lists = true_edges(graph, nodes, t), graph
     while True:
@@ -224,8 +249,8 @@ def linked_groups(graph: DataFrame, nodes: DataFrame, t: float, k: int, tables:
         if not total:
             return groups
         known = graph.join(full.select("u"), "u", "left_semi")
-        seed += rounds + 1
-        lists = searched(None, rest, total, tables, rounds, k, seed, known)
+        seed += 100
+        lists = searched(None, rest, total, t, miss, tables, rounds, k, seed, known)
         new = true_edges(lists, rest, t)
         if new.isEmpty():
             return groups
@@ -251,33 +276,100 @@ def _count_bin(t: float):
     return run
 
 
-def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int) -> float:
-    """Share of the links of ``audit`` sampled nodes that lie within a group."""
-    with_group = nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left")
-    drawn = with_group.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(audit).toPandas()
-    if drawn.empty:
-        return 1.0
-    sets = [(drawn.iloc[at], _unit(drawn["vec"].iloc[at], np.float64)) for at in _lengths(drawn["vec"])]
+def _compared(nodes: DataFrame, drawn: pd.DataFrame, t: float, out: str, reduce) -> DataFrame:
+    """``reduce`` of the runs of links between nodes and ``drawn`` that a task
+    finds: (drawn number, row number of the task's batch, batch)."""
+    sent = nodes.sparkSession.sparkContext.broadcast(drawn)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        true = found = 0
-        for b in batches:
-            for at in _lengths(b["vec"]):
-                x, own = _unit(b["vec"].iloc[at], np.float64), b.iloc[at]
-                for q, y in sets:
-                    if y.shape[1] == x.shape[1]:
-                        i, j = np.nonzero(_exact(y, x, t))
-                        keep = q["node"].to_numpy()[i] != own["node"].to_numpy()[j]
-                        g, h = q["component"].to_numpy()[i[keep]], own["component"].to_numpy()[j[keep]]
-                        true, found = true + int(keep.sum()), found + int((g == h).sum())
-        yield pd.DataFrame({"true": [true], "found": [found]})
-
-    got = with_group.mapInPandas(part, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return got[1] / got[0] if got[0] else 1.0
+        drawn = sent.value
+        sets = [(at, _unit(drawn["vec"].iloc[at], np.float64)) for at in _lengths(drawn["vec"])]
+
+        def runs():
+            for b in batches:
+                for at in _lengths(b["vec"]):
+                    for lo in range(0, len(at), BLOCK):
+                        own = at[lo:lo + BLOCK]
+                        x = _unit(b["vec"].iloc[own], np.float64)
+                        for q, y in sets:
+                            if y.shape[1] == x.shape[1]:
+                                i, j = np.nonzero(_exact(y, x, t))
+                                i, j = q[i], own[j]
+                                keep = drawn["node"].to_numpy()[i] != b["node"].to_numpy()[j]
+                                yield i[keep], j[keep], b
+        yield from reduce(drawn, runs())
+
+    return nodes.mapInPandas(part, out)
+
+
+def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int, seen: int = 100) -> tuple[float, bool]:
+    """(least share of a node's links that lie within its group, over classes of
+    nodes by their true number of links; whether enough nodes were seen)."""
+    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    member = groups.join(small_side(materialize(size, "audit-sizes")), "component").select(
+        F.col("id").alias("node"), "component", "n")
+    level = F.when(F.col("n").isNull(), 0).otherwise(F.floor(F.log2("n") / 2)).cast("int")
+    nodes = materialize(nodes.select("node", "vec").join(member, "node", "left").withColumn("level", level), "audit")
+    many = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}
+    place = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) / float(1 << 30)
+
+    def count(drawn, runs):
+        true, found = np.zeros(len(drawn), np.int64), np.zeros(len(drawn), np.int64)
+        own = drawn["component"].to_numpy()
+        for i, j, b in runs:
+            true += np.bincount(i, minlength=len(true))
+            found += np.bincount(i[own[i] == b["component"].to_numpy()[j]], minlength=len(true))
+        yield pd.DataFrame({"node": drawn["node"], "true": true, "found": found})[true > 0]
+
+    for grown in (1, 4, 16, 64):
+        share = {c: min(1.0, grown * audit / n) for c, n in many.items()}
+        drawn = nodes.filter(F.coalesce(*[F.when(F.col("level") == c, place < x) for c, x in share.items()])
+                             if share else F.lit(False)).toPandas()
+        if drawn.empty:
+            return 1.0, not many or min(share.values()) == 1
+        got = _compared(nodes.select("node", "component", "vec"), drawn, t, "node long, true long, found long", count)
+        got = got.groupBy("node").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).toPandas()
+        got = got.merge(drawn[["node", "level", "n"]], "left", "node")
+        small = int((got["n"].isna() | (got["n"] <= BLOCK)).sum())
+        whole = all(x == 1 for c, x in share.items() if 4 ** c <= BLOCK)
+        if small >= seen or whole:
+            break
+    got["weight"] = 1 / got["level"].map(share).astype(float)
+    got["part"] = got["found"] / got["true"] * got["weight"]
+    kinds = got.groupby(np.floor(np.log2(got["true"]) / 2)).agg(n=("node", "size"), part=("part", "sum"), weight=("weight", "sum"))
+    least, run = 1.0, np.zeros(3)
+    for row in kinds.to_numpy():  # classes of few drawn nodes count together
+        run = run + row
+        if run[0] >= 20:
+            least, run = min(least, run[1] / run[2]), np.zeros(3)
+    total = kinds.to_numpy().sum(0) if len(kinds) else np.zeros(3)
+    if run[0] and total[0] < 40:
+        least = min(least, total[1] / total[2])
+    return float(least), bool(small >= seen or whole)
+
+
+def all_edges(nodes: DataFrame, t: float, rows: int = 4_000) -> DataFrame:
+    """Edges that span the groups of all pairs at cosine >= t, every node compared
+    with every node, ``rows`` of them at a time."""
+    def forest(drawn, runs):
+        a = drawn["node"].to_numpy()
+        for i, j, b in runs:
+            if len(i):
+                used, back = np.unique(np.concatenate((a[i], b["node"].to_numpy()[j])), return_inverse=True)
+                root = roots(len(used), back[:len(i)], back[len(i):])
+                yield pd.DataFrame({"a": used, "b": used[root]})[root != np.arange(len(used))]
+
+    out, blocks = None, max(1, -(-nodes.count() // rows))
+    for k in range(blocks):
+        drawn = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select("node", "vec").toPandas()
+        if len(drawn):
+            part = materialize(_compared(nodes.select("node", "vec"), drawn, t, "a long, b long", forest).distinct(), "all")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds: int = 2, audit: int = 500,
-         recall: float = 0.98, tries: int = 3, seed: int = 9) -> DataFrame:
+         recall: float = 0.98, tries: int = 3, seed: int = 9, miss: float = 0.01) -> DataFrame:
     """vec_id, n_links, component_id, kept, recall (the last audit's) per row."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_usable(F.col("embedding")), F.transform(
         "embedding", lambda x: x.cast("double") + F.lit(0.0))).alias("embedding"))
@@ -286,11 +378,13 @@ def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds:
     total = nodes.count()
     graph = None
     for i in range(tries):
-        graph = searched(graph, nodes, total, tables, rounds, k, seed + 1000 * i)
-        groups = linked_groups(graph, nodes, t, k, tables, rounds, seed + 1000 * i)
-        reached = audited(nodes, groups, t, audit, seed)
-        if reached >= recall:
+        graph = searched(graph, nodes, total, t, miss, tables, rounds, k, seed + 10_000 * i)
+        groups = linked_groups(graph, nodes, t, miss, k, tables, rounds, seed + 10_000 * i)
+        reached, enough = audited(nodes, groups, t, audit, seed)
+        if reached >= recall and enough:
             break
+    if reached < recall:
+        groups, reached = materialize(connected_components(all_edges(nodes, t)), "groups"), 1.0
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     member = materialize(groups.join(small_side(materialize(sizes, "sizes")), "component").select(
         F.col("id").alias("node"), F.col("component").alias("key"), "n"), "member")

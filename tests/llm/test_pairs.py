@@ -137,6 +137,29 @@ def test_links_between_full_lists(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == embed_brute(rows)
 
 
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng, rows = np.random.default_rng(12), []
+    hot = rng.normal(size=16)
+    rows += [(i, (hot + 0.01 * rng.normal(size=16)).astype(np.float32).tolist(), 0) for i in range(300)]
+    for g in range(60):
+        centre = rng.normal(size=16)
+        rows += [(1000 + 2 * g + i, (centre + 0.01 * rng.normal(size=16)).astype(np.float32).tolist(), 1) for i in range(2)]
+    got = table(spark, rows, schema=VECS).selectExpr("vec_id", "vec_id AS node", "transform(embedding, x -> double(x)) AS embedding")
+    nodes = neardup.nodes_of(got)
+    every = graph.connected_components(neardup.all_edges(nodes, 0.95, rows=100))
+    assert every.count() == 420 and neardup.audited(nodes, every, 0.95, 500, 9) == (1.0, True)
+    # half of the pairs are not found: 120 of some 90,000 pairs, but of 120 nodes outside the large group 60
+    some = every.filter("id < 1000 OR id >= 1060")
+    assert neardup.audited(nodes, some, 0.95, 500, 9)[0] < 0.6
+
+
+def test_tables_hold_the_miss_probability():
+    for total in (2_000, 100_000, 10_000_000):
+        bits = neardup.bucket_bits(total)
+        apart = 1 - (1 - np.arccos(0.95) / np.pi) ** bits
+        assert apart ** neardup.tables_for(bits, 0.95, 0.01, 4) <= 0.01
+
+
 def test_embeddings_empty(spark):
     assert neardup.link(spark.createDataFrame([], VECS)).count() == 0
     assert neardup.link(spark.createDataFrame([(1, None, 0)], VECS)).collect()[0].n_links == 0
