@@ -12,9 +12,9 @@ Passes over the documents:
    which only tokens of the tail need. One layer of causal
    self-attention with a bias for each distance reads up to 2 * ``stride``
    symbols. It is trained in numpy by data-parallel averaging: every training
-   text gives stretches of itself at an even rate, each task improves the
-   current weights on its stretches, and the weights are averaged, weighted by
-   the number of windows. What is gathered grows with the input.
+   text is read whole in one of the rounds, each task improves the current
+   weights on all windows of its texts, a run of windows at a time, and the
+   weights are averaged, weighted by the number of targets.
 3. Every whole text is cut into windows of 2 * ``stride`` symbols that overlap
    by half: the first half is context only, the second half is scored, so each
    token is scored once. Windows go through masked attention in batches.
@@ -338,39 +338,55 @@ def _sequences(s: Scan, words: list[bytes], back: np.ndarray, path: str) -> tupl
     return np.insert(flat, cut[1:], END), cut + np.arange(len(cut))
 
 
-def train(docs: DataFrame, model: Model, path: str, rounds: int, stretch: int, every: int, rate: float,
+def improve_on_runs(model: Model, flat: np.ndarray, windows: Iterator[tuple], every: int, rate: float,
+                    least_steps: int, seed: int) -> tuple[np.ndarray, int]:
+    """(weights, number of targets) after all ``windows`` (runs of inputs, targets
+    and which targets count), about ``every`` windows shuffled at a time. A run's
+    rate falls with the root of its number."""
+    held, size, steps, targets, runs = [], 0, 0, 0, 0
+
+    def learn():
+        nonlocal flat, held, size, steps, targets, runs
+        x, y, used = (np.concatenate(p) for p in zip(*held))
+        flat = model.improve(flat, x, y, used, rate / (runs + 1) ** 0.5, max(0, least_steps - steps), seed + runs)
+        steps, targets, runs = steps + -(-size // 64), targets + int(used.sum()), runs + 1
+        held, size = [], 0
+
+    for x, y, used in windows:
+        for lo in range(0, len(x), every):
+            held.append((x[lo:lo + every], y[lo:lo + every], used[lo:lo + every]))
+            size += len(held[-1][0])
+            if size >= every:
+                learn()
+    if size:
+        learn()
+    return flat, targets
+
+
+def train(docs: DataFrame, model: Model, path: str, rounds: int, every: int, rate: float,
           least_steps: int, seed: int) -> np.ndarray:
-    """Average of the weights that the tasks reach, ``rounds`` times."""
-    start = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(every)) + 1
-    stretches = materialize(
-        docs.filter("NOT held_out AND text IS NOT NULL")
-        .select(F.explode(F.transform(
-            F.filter(F.sequence(F.lit(0), F.floor(F.length("text") / every)),
-                     lambda i: i * every + start <= F.length("text")),
-            lambda i: F.substring("text", (i * every + start).cast("int"), F.lit(stretch)))).alias("text")),
-        "stretches")
+    """Average of the weights that the tasks reach, ``rounds`` times. Every training
+    text is in one round."""
+    texts = docs.filter("NOT held_out AND text IS NOT NULL")
     flat = model.flat
     for r in range(rounds):
         now = flat
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows = []
-            for b in batches:
-                for _, _, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=RUN_BYTES):
-                    ids, first = _sequences(s, *_unique_words(s)[1:], path)
-                    x, y, place = model.blocks(model.symbol[ids], first)
-                    # a stretch ends anywhere: its END is not a target
-                    ends = np.zeros(len(ids), dtype=bool)
-                    ends[first[1:] - 1] = True
-                    windows.append((x, y, (place >= 0) & ~ends[place]))
-            if windows:
-                x, y, used = (np.concatenate(p) for p in zip(*windows))
-                got = model.improve(now, x, y, used, rate / (r + 1), least_steps, seed + r).astype(np.float64)
-                n = float(used.sum())
+            def windows():
+                for b in batches:
+                    for _, _, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=RUN_BYTES):
+                        ids, first = _sequences(s, *_unique_words(s)[1:], path)
+                        x, y, place = model.blocks(model.symbol[ids], first)
+                        yield x, y, place >= 0
+
+            got, n = improve_on_runs(model, now, windows(), every, rate / (r + 1), least_steps, seed + r)
+            if n:
                 yield pd.DataFrame({"g": [TaskContext.get().partitionId() % _GROUPS],
-                                    "v": [np.concatenate((got * n, [n])).tobytes()]})
+                                    "v": [np.concatenate((got.astype(np.float64) * n, [float(n)])).tobytes()]})
 
-        total = _sum_arrays(stretches.mapInPandas(part, "g int, v binary"), len(flat) + 1)
+        own = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(rounds)) == r).select("text")
+        total = _sum_arrays(own.mapInPandas(part, "g int, v binary"), len(flat) + 1)
         if total[-1] > 0:
             flat = (total[:-1] / total[-1]).astype(np.float32)
     return flat
@@ -383,12 +399,11 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long, l
 
 
 def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int = 128, dim: int = 16, stride: int = 12,
-          frequent: int = 500_000, rounds: int = 2, stretch: int = 320, every: int = 8192,
+          frequent: int = 500_000, rounds: int = 2, every: int = 8192,
           rate: float = 0.02, least_steps: int = 200, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``stretch`` of every ``every`` characters of the training texts train the
-    model (a rate, so what is learnt from grows with the corpus).
+    All training texts train the model, about ``every`` windows shuffled at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
@@ -400,7 +415,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int
     ids = subword_counts(counts, path)
     ids[END] = texts
     model = Model(ids, classes, dim, stride, seed, head)
-    flat = train(docs, model, path, rounds, stretch, every, rate, least_steps, seed)
+    flat = train(docs, model, path, rounds, every, rate, least_steps, seed)
     known_hash, known_count, least = frequent_counts(counts, frequent)
     table = spark.sparkContext.broadcast((model, flat, known_hash, known_count))
     end_log = float(np.log10(texts + 0.1))

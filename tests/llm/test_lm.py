@@ -101,3 +101,22 @@ def test_training_helps_on_held_out_text(spark):
     start = lm.score(some, rounds=0).filter("held_out").agg({"score": "sum"}).first()[0]
     done = lm.score(some, rounds=2, every=400).filter("held_out").agg({"score": "sum"}).first()[0]
     assert done > start
+
+
+def test_every_window_of_every_text_trains(spark, monkeypatch, tmp_path):
+    # short texts: what the tasks' models are given, over all rounds
+    seen = str(tmp_path)
+
+    class Noted(lm.Model):
+        def improve(self, flat, x, y, used, *rest):
+            import uuid
+            np.save(f"{seen}/{uuid.uuid4().hex}.npy", np.array([used.sum()]))
+            return flat
+
+    counts = np.ones(lm.END + 1)
+    rows = [(i, prose(20 + i, i), "en", "a", 1) for i in range(40)] + [(90, None, "en", "a", 1)]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "doc_id % 10 = 0 AS held_out")
+    lm.train(docs, Noted(counts, 12, 4, 3, 1, 7), lm.VOCABULARY, 2, 16, 0.02, 5, 3)
+    enc, _ = lm.encoder(lm.VOCABULARY)
+    want = sum(len(enc.encode_ordinary(" " + t)) + 1 for d, t, *_ in rows if t is not None and d % 10)
+    assert sum(int(np.load(f)[0]) for f in tmp_path.glob("*.npy")) == want
