@@ -12,8 +12,10 @@ its rarest term there: that term's postings, moved by the term's offset, are
 the candidate starts, and each further term, in order of growing frequency,
 keeps the starts that are also in its own moved list. What is left after the
 last term are exact phrase matches. A proximity match of a window is a place
-where its three rarest terms stand within ``near`` words of each other, in any
-order, in one document.
+where its three rarest terms, by their frequency in the whole index and among
+those that occur in it, stand within ``near`` words of the rarest, in any order,
+in one document. The window's other terms need not occur, and how documents are
+dealt to shards has no effect.
 
 Defined cases: a null or wordless text has no words and matches nothing; an
 item of fewer words than a window is one window, an empty item none; repeated
@@ -86,6 +88,19 @@ class Windows:
         self.terms = np.array(terms, dtype=np.uint64).reshape(len(terms), size)
         self.length = np.array(length, dtype=np.int64)
         self.item = np.array(item, dtype=object)
+        #: the three rarest terms, and whether a window has three that occur
+        self.rare, self.has = self.terms[:, :3], np.zeros(len(length), dtype=bool)
+
+    def rank(self, terms: np.ndarray, counts: np.ndarray) -> None:
+        """Set the three rarest terms by ``counts`` of the ordered ``terms``."""
+        if not len(terms) or not len(self.length) or self.terms.shape[1] < 3:
+            return
+        at = np.minimum(np.searchsorted(terms, self.terms), len(terms) - 1)
+        used = (np.arange(self.terms.shape[1]) < self.length[:, None]) & (terms[at] == self.terms)
+        count = np.where(used, counts[at], np.iinfo(np.int64).max)
+        order = np.argsort(count, axis=1, kind="stable")[:, :3]
+        self.rare = np.take_along_axis(self.terms, order, 1)
+        self.has = np.take_along_axis(used, order, 1).all(1)
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -147,17 +162,24 @@ class Shard:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         width = np.int64(len(self.term_at) + 2 * near)
         key = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.first)) * width + self.positions
-        for rows, term, offset, k, anchor in self.candidates(w):
-            keep = w.length[rows[k]] >= 3
-            k, anchor = k[keep], anchor[keep]
+        if not len(self.terms) or not w.has.any():
+            return found[0]
+        at = np.minimum(np.searchsorted(self.terms, w.rare), len(self.terms) - 1)
+        rows = np.flatnonzero((self.terms[at] == w.rare).all(1) & w.has)
+        size = np.diff(self.first)[at[rows, 0]]
+        run = np.cumsum(size) // CANDIDATES
+        for r in np.unique(run):
+            own = np.flatnonzero(run == r)
+            k = np.repeat(rows[own], size[own])
+            anchor = self.positions[_ranges(self.first[at[rows[own], 0]], size[own])].astype(np.int64)
             doc = np.searchsorted(self.doc_lo, anchor, side="right") - 1
             lo = np.maximum(anchor - near, self.doc_lo[doc])
             hi = np.minimum(anchor + near, self.doc_lo[doc] + self.words[doc] - 1)
             keep = np.ones(len(k), dtype=bool)
             for j in (1, 2):
-                base = term[k, j] * width
+                base = at[k, j] * width
                 keep &= np.searchsorted(key, base + lo) < np.searchsorted(key, base + hi, side="right")
-            found.append((rows[k[keep]], anchor[keep]))
+            found.append((k[keep], anchor[keep]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -205,12 +227,36 @@ def query_blocks(items: DataFrame, size: int, block_words: int) -> Iterator[Wind
     yield Windows(block, size)
 
 
+def term_counts(index: DataFrame, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of the windows that occur, in order; how often in the whole index)."""
+    sent = index.sparkSession.sparkContext.broadcast(np.unique(w.terms))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = sent.value
+        total = np.zeros(len(wanted), dtype=np.int64)
+        for b in batches:
+            for terms, counts in zip(b["terms"], b["counts"]):
+                terms, counts = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32)
+                if len(terms) and len(wanted):
+                    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+                    total += np.where(terms[at] == wanted, counts[at], 0)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"term": wanted[some].view(np.int64), "c": total[some]})
+
+    got = (index.select("terms", "counts").mapInPandas(part, "term long, c long")
+           .groupBy("term").agg(F.sum("c").alias("c")).toPandas())
+    term = got["term"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(term)
+    return term[order], got["c"].to_numpy(np.int64)[order]
+
+
 def search(index: DataFrame, items: DataFrame, size: int = WINDOW, near: int = 26,
            block_words: int = 200_000) -> DataFrame:
     """Matches by (shard, place of the document in it): items, hit word spans
     (lo up to, not including, hi) and items with proximity matches only."""
     found = None
     for w in query_blocks(items, size, block_words):
+        w.rank(*term_counts(index, w))
         sent = index.sparkSession.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

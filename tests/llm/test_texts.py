@@ -273,6 +273,16 @@ def test_proximity_matches(spark):
     assert (got[1].n_near, got[1].n_hit) == (1, 0) and got[3].n_near == 0 and got[3].n_hit == 13
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_proximity_needs_only_the_rarest_terms(spark, parts):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    docs = [(1, prose(30, 1) + " " + item.replace("eta theta", "eta foreign") + " " + prose(30, 2)), (2, "theta " * 40),
+            (3, prose(30, 3)), (4, "alpha " + prose(60, 4)), (5, prose(30, 5))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+    got = decontam.decontaminate(df, spark.createDataFrame([(7, item + " unheard")], "item_id long, text string"))
+    assert {r.doc_id: (r.n_near, r.n_hit) for r in got.collect()} == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_decontamination_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(table(spark), items).filter("n_hit > 0 OR contaminated").count() == 0
