@@ -94,10 +94,11 @@ def sainte_lague(df: DataFrame, votes: str, seats: Column, by: list[str], out: s
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, most: int = 3,
                 block_words: int = 16, shard_words: int = 250_000, seed: int = 7,
-                keep: tuple = ()) -> DataFrame:
+                keep: tuple = (), shard_rows: int = 250_000) -> DataFrame:
     """One row per document: size, source_size, target, taken and its place.
 
-    ``shard_words`` is the aimed number of words of a shard, ``keep`` names
+    ``shard_words`` is the aimed number of words of a shard, ``shard_rows`` the
+    most rows aimed at (documents without words are rows too), ``keep`` names
     further columns to carry along.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -105,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, m
         "doc_id", "source", *keep, size.alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text")).alias("_h")), "mix-sizes")
 
-    src = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    src = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     src = (with_targets(src, weights, share, most)
            .withColumn("_key", F.row_number().over(Window.orderBy(
                F.col("source").isNull(), F.col("source").cast("binary"))))
@@ -114,7 +115,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, m
     src = materialize(
         sainte_lague(src, "target", F.round(total / block_words).cast("bigint"), ["_all"], "blocks")
         .withColumn("shards", F.greatest(F.lit(1).cast("bigint"),
-                                         F.floor(F.col("source_size") / shard_words)))
+                                         F.floor(F.col("source_size") / shard_words),
+                                         F.floor(F.col("_rows") / shard_rows)))
         .select("source", "source_size", "target", "blocks", "shards",
                 F.col("_key").alias("source_no")), "mix-sources")
 

@@ -229,6 +229,14 @@ def test_pii_edges(spark):
     assert pii.mask(table(spark, [])).count() == 0
 
 
+def test_rows_without_words_are_spread_over_shards(spark):
+    rows = [(i, None if i % 2 else " ", "en", "blank", 0) for i in range(400)] + [(1000 + i, prose(50, i), "en", "b", 1) for i in range(4)]
+    got = mixing.mix_sources(table(spark, rows), shard_rows=40).collect()
+    blank = Counter(r.shard for r in got if r.source == "blank")
+    assert len(got) == 404 and len(blank) == 10 and max(blank.values()) < 100
+    assert all(r.taken == 0 for r in got if r.source == "blank") and sum(r.taken for r in got) > 0
+
+
 # ------------------------------------------------------------ decontamination
 
 def brute_hits(docs, items):
