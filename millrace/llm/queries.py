@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lm, mixing, neardup, pii, quality, quotes, url_filter
+from . import bpe, decontam, fim, jaccard, langid, lm, mixing, neardup, pii, quality, quotes, spelling, url_filter
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +142,46 @@ LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
 @query("op8_chat_quotes", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_bpe_round_trip")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(coded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_OP13_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+g AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(w) + 1) AS c1,
+    CAST('0x' || x[9:16] AS BIGINT) % (len(w) + 1) AS c2, CAST('0x' || x[25:32] AS BIGINT) % 100 < 50 AS spm FROM h),
+c AS (
+  SELECT *, array_to_string(w[1:least(c1, c2)], '') AS p, array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(w[greatest(c1, c2) + 1:], '') AS s, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+      OR contains(t, '<M>') THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+
+@query("op13_fill_in_middle", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))

@@ -19,7 +19,7 @@ def test_oracle(spark, name):
 
 def test_all_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
 
