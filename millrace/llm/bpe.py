@@ -17,6 +17,8 @@ vocabulary's tokens.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: states of a transducer before it is built afresh; pieces remembered whole, and their length
-MAX_STATES, MAX_PIECES, PIECE_CHARS = 100_000, 200_000, 48
+MAX_STATES, MAX_PIECES, PIECE_CHARS = 100_000, 100_000, 48
 
 #: matches of a very long text, and ids of a very long list, that are taken at once
 RUN = 1 << 16
@@ -89,27 +91,36 @@ class Merges:
 
 class Transducer:
     """States by number: ``branches[s]`` and, for each byte read in s so far,
-    ``steps[s][byte]`` = (next state, ids written)."""
+    ``steps[s][byte]`` = (next state, ids written).
+
+    A branch is (node of the trie, tokens): the first of its tokens has been
+    written already (-1: the start, or no branch needs it any more), the others
+    wait for the other branches. Branches stand by the place where their node's
+    bytes began.
+    """
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.child: dict[tuple[int, int], int] = {}
-        self.ends: dict[int, int] = {}
-        self.inner = {0}
+        self.child: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
         for token, data in merges.token.items():
             node = 0
             for b in data:
-                self.inner.add(node)
-                node = self.child.setdefault((node, b), len(self.child) + 1)
+                below = self.child[node]
+                if b not in below:
+                    below[b] = len(self.child)
+                    self.child.append({})
+                    self.ends.append(-1)
+                node = below[b]
             self.ends[node] = token
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, dict[int, bool]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[tuple, int] = {}
         self.branches: list[tuple] = []
         self.steps: list[dict[int, tuple[int, tuple]]] = []
-        self.start = self._state(((0, -1, ()),))
+        self.start = self._state(((0, (-1,)),))
 
     def _state(self, branches: tuple) -> int:
         at = self.number.setdefault(branches, len(self.branches))
@@ -119,30 +130,38 @@ class Transducer:
         return at
 
     def _fit(self, last: int, token: int) -> bool:
-        key = (last, token)
-        if key not in self._fits:
-            if len(self._fits) > 4 * MAX_STATES:
-                self._fits.clear()
-            self._fits[key] = last < 0 or self.merges.apart(last, token)
-        return self._fits[key]
+        of_last = self._fits.get(last)
+        if of_last is None:
+            of_last = self._fits[last] = {}
+        fit = of_last.get(token)
+        if fit is None:
+            fit = of_last[token] = last < 0 or self.merges.apart(last, token)
+        return fit
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple]:
         """Read a byte in all branches; write what they now agree on."""
-        going = []
-        for node, last, done in self.branches[state]:
-            node = self.child.get((node, byte))
+        child, ends = self.child, self.ends
+        going, whole = [], None
+        for node, done in self.branches[state]:
+            node = child[node].get(byte)
             if node is None:
                 continue
-            token = self.ends.get(node)
-            if token is not None and self._fit(last, token):
-                going.append((0, token, done + (token,)))
-            if node in self.inner:
-                going.append((node, last, done))
-        lead = min((done for _, _, done in going), key=len)
-        n = len(lead)
-        while n and any(done[:n] != lead[:n] for _, _, done in going):
-            n -= 1
-        return self._state(tuple(sorted((node, last, done[n:]) for node, last, done in going))), lead[:n]
+            if whole is None and ends[node] >= 0 and self._fit(done[-1], ends[node]):
+                whole = done + (ends[node],)    # one branch alone ends here in a token that fits
+            if child[node]:
+                going.append((node, done))
+        going.append((0, whole))
+        lead = going[0][1]
+        n = short = len(lead)
+        for _, done in going:
+            short = min(short, len(done))
+            while done[:n] != lead[:n]:
+                n -= 1
+        if short > n:                       # what is written has no neighbour to come
+            going = [(node, (-1,) + done[n:]) for node, done in going]
+        elif n > 1:
+            going = [(node, done[n - 1:]) for node, done in going]
+        return self._state(tuple(going)), lead[1:n]
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece; a piece that is a token is that token."""
@@ -151,6 +170,7 @@ class Transducer:
             return [whole]
         if len(self.branches) > MAX_STATES:
             self._clear()
+            self._fits = {}
         out: list[int] = []
         state, steps = self.start, self.steps
         for b in piece:
@@ -158,24 +178,26 @@ class Transducer:
             if found is None:
                 found = steps[state][b] = self._step(state, b)
             state, ids = found
-            if ids:
-                out += ids
-        for node, _, done in self.branches[state]:
-            if node == 0:
-                out += done
+            out += ids
+        out += self.branches[state][-1][1][1:]
         return out
 
 
 class _Pieces(dict):
-    """Ids of pieces, the short ones remembered."""
+    """Ids of pieces, the short ones remembered: those of this generation, and
+    of the one before as they are met again."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.before: dict[str, tuple] = {}
 
     def __missing__(self, piece: str) -> tuple:
-        ids = tuple(self.transducer.encode(piece.encode()))
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = tuple(self.transducer.encode(piece.encode()))
         if len(piece) <= PIECE_CHARS:
             if len(self) >= MAX_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -278,25 +300,45 @@ def _shared(spark: SparkSession, ranks_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded_col: str | None = None) -> DataFrame:
     """Token ids of each whole text: (id, ids array<int>), a row for each row of
     ``docs``, repeated ones too; other columns are left behind, whatever their
     names. A null or empty text has no ids, a null id stays null. Each match of
     ``pattern`` is encoded by itself by the ranks of the file, without special
-    tokens.
+    tokens. ``decoded_col`` adds the text of the ids, decoded as by ``decode``
+    in the same pass.
     """
     file = _shared(docs.sparkSession, ranks_path)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file.value, pattern)
+        token = encoder.pieces.transducer.merges.token
         for batch in batches:
-            found = [encoder.ids(t or "") for t in batch.column(1).to_pylist()]
+            with _uncollected():
+                found = [encoder.ids(t or "") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["_id", "ids"])
+            out = [batch.column(0), ids]
+            if decoded_col:
+                out.append(pa.array([_text(x, token) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=["_id", "ids", "_decoded"][:len(out)])
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    schema = f"_id {kind}, ids array<int>" + (", _decoded string" if decoded_col else "")
+    return rows.mapInArrow(run, schema).withColumnsRenamed({"_id": id_col, "_decoded": decoded_col or ""})
+
+
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the cycle collector: states and pieces are many, and none is in a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -315,12 +357,16 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
         token = Merges(file.value).token
         for batch in batches:
             lists = batch.column(at)
-            texts = ["".join(decode_stream(_runs(x.values), token)) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+            texts = pa.array([_text(x, token) for x in lists], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts],
                                              names=[*batch.schema.names, out_col])
     return rows.mapInArrow(run, schema.add(out_col, "string"))
 
 
+def _text(ids: pa.ListScalar, token: dict[int, bytes]) -> str | None:
+    return "".join(decode_stream(_runs(ids.values), token)) if ids.is_valid else None
+
+
 def _runs(ids: pa.Array) -> Iterator[list[int]]:
     for k in range(0, len(ids), RUN):
-        yield ids.slice(k, RUN).to_pylist()
+        yield ids.slice(k, RUN).fill_null(-1).to_numpy(zero_copy_only=False).tolist()
