@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: states of a transducer before it is built afresh; pieces remembered whole, and their length
-MAX_STATES, MAX_PIECES, PIECE_CHARS = 100_000, 100_000, 48
+MAX_STATES, MAX_PIECES, PIECE_CHARS = 250_000, 200_000, 48
 
 #: matches of a very long text, and ids of a very long list, that are taken at once
 RUN = 1 << 16
