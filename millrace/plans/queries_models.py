@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, forecast, ml, windows
+from ..operators import anomaly, forecast, ml, trees, windows
 from ..operators.common import trailing_window
 from ..sources.fixtures import ORDER_COLS
 from ..session import write_table
@@ -384,12 +384,127 @@ def m23_trend_rows(fx):
     return forecast.forecast_all(fx.production, SERIES).filter("model = 'trend_weekday'").drop("model")
 
 
+# ---------------------------------------------------------------- M5, M13/M14 per tenant
+GAIN_BINS = 16
+
+_M5 = f"""
+WITH {_M1.strip()},
+t AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '42', {KEY_SQL})), 1, 8) AS BIGINT) % 100) < 80 AS is_train FROM m1),
+x AS (SELECT * FROM (UNPIVOT (SELECT {KEY_SQL}, tenant_id, downtime_min, {", ".join(FEATS)} FROM t WHERE is_train)
+      ON {", ".join(FEATS)} INTO NAME name VALUE v)),
+y AS (SELECT *, list_position([{", ".join(f"'{c}'" for c in FEATS)}], name) - 1 AS feature,
+             min(v) OVER (PARTITION BY tenant_id, name) AS lo, max(v) OVER (PARTITION BY tenant_id, name) AS hi FROM x),
+b AS (SELECT *, len(list_filter(list_transform(range(1, {GAIN_BINS}), lambda i: lo + i * (hi - lo) / {GAIN_BINS}), lambda e: e < v)) AS bin FROM y),
+base AS (SELECT tenant_id, AVG(downtime_min) AS m FROM t WHERE is_train GROUP BY tenant_id),
+g0 AS (SELECT b.*, m - downtime_min AS g FROM b JOIN base ON b.tenant_id = base.tenant_id),
+h1 AS (SELECT tenant_id, 1 AS node, feature, bin, SUM(g) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM g0 GROUP BY ALL),
+c1 AS (SELECT *, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER p AS gt, SUM(h) OVER p AS ht FROM h1
+       WINDOW p AS (PARTITION BY tenant_id, node, feature), w AS (PARTITION BY tenant_id, node, feature ORDER BY bin)),
+s1 AS (SELECT *, round((gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2, 6) AS gain
+       FROM c1 WHERE hl >= 1 AND ht - hl >= 1),
+k1 AS (SELECT * FROM s1 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY tenant_id, node ORDER BY gain DESC, feature, bin) = 1),
+n2 AS (SELECT g0.*, 2 + CAST(o.bin > k1.bin AS INTEGER) AS node FROM g0 JOIN k1 ON g0.tenant_id = k1.tenant_id
+       JOIN g0 o ON o.tenant_id = g0.tenant_id AND o.feature = k1.feature AND o.l_orderkey = g0.l_orderkey
+        AND o.l_linenumber = g0.l_linenumber AND o.l_partkey = g0.l_partkey AND o.l_suppkey = g0.l_suppkey),
+h2 AS (SELECT tenant_id, node, feature, bin, SUM(g) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM n2 GROUP BY ALL),
+c2 AS (SELECT *, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER p AS gt, SUM(h) OVER p AS ht FROM h2
+       WINDOW p AS (PARTITION BY tenant_id, node, feature), w AS (PARTITION BY tenant_id, node, feature ORDER BY bin)),
+s2 AS (SELECT *, round((gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2, 6) AS gain
+       FROM c2 WHERE hl >= 1 AND ht - hl >= 1),
+k2 AS (SELECT * FROM s2 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY tenant_id, node ORDER BY gain DESC, feature, bin) = 1),
+a AS (SELECT tenant_id, node, feature, bin, gain, ht FROM k1 UNION ALL SELECT tenant_id, node, feature, bin, gain, ht FROM k2)
+SELECT tenant_id, node, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(gain, 4) AS gain, CAST(ht AS BIGINT) AS n_rows FROM a"""
+
+
+@query("m5_split_gains", _M5, P)
+def m5_split_gains(fx):
+    """The first two levels of the first boosted tree of every tenant."""
+    f = write_table(ml.hash_split(_features(fx), KEYS).filter("is_train"), "m5-rows")
+    edges = trees.bin_edges(f, FEATS, "tenant_id", GAIN_BINS, "width")
+    mean = f.groupBy("tenant_id").agg(F.avg("downtime_min").alias("m"))
+    rows = f.join(edges, "tenant_id").join(mean, "tenant_id").select(
+        "tenant_id", trees.binned(f, FEATS).alias("bins"), (F.col("m") - F.col("downtime_min")).alias("g"), F.lit(1.0).alias("h"))
+    _, splits = trees.grow(rows, ["tenant_id"], 2, trees.REGULARISATION, "m5-splits")
+    return splits.select("tenant_id", "node", "feature", "bin", F.round("gain", 4).alias("gain"),
+                         F.col("ht").cast("bigint").alias("n_rows"))
+
+
+def _tenant_rows(fx):
+    return trailing_window(fx.recent(ML_DAYS), ML_DAYS, fx.as_of).select(
+        *KEYS, "tenant_id", "production_date", "machine_id", "units_produced", "defective_units", "downtime_min")
+
+
+def _tenant_models(fx):
+    from .report import tenant_models
+    rows = write_table(_tenant_rows(fx), "tenant-rows")
+    return rows, *tenant_models(rows, KEYS, ORDER_COLS)
+
+
+@query("m14_tenant_records")
+def m14_tenant_records(fx):
+    """An insight record per tenant from its own forest and boosted trees."""
+    from .report import tenant_records
+    return tenant_records(fx.tenants, *_tenant_models(fx))
+
+
+@query("m14_tenant_gate", f"""
+SELECT t.tenant_id, COUNT(p.tenant_id) AS n_rows, COUNT(p.tenant_id) >= 5 AS modelled,
+       CASE WHEN COUNT(p.tenant_id) >= 5 THEN {len(FEATS)} ELSE 0 END AS n_features, TRUE AS shares_sum
+FROM tenants t LEFT JOIN production p ON p.tenant_id = t.tenant_id AND p.production_date >= {AS_OF} - {ML_DAYS}
+GROUP BY t.tenant_id""", ("tenants", "production"))
+def m14_tenant_gate(fx):
+    """Which tenants have models; their importances are shares of one."""
+    from .report import tenant_records
+    rows, *models = _tenant_models(fx)
+    r = tenant_records(fx.tenants, rows, *models)
+    total = F.aggregate(F.map_values("feature_importance"), F.lit(0.0), lambda a, x: a + x)
+    n = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return r.join(n, "tenant_id", "left").select(
+        "tenant_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("forest_pred").isNotNull().alias("modelled"),
+        F.size("feature_importance").alias("n_features"),
+        ((F.abs(total - 1) < 1e-9) | (total == 0)).alias("shares_sum"))
+
+
+@query("m13_tenant_record_fields", f"""
+WITH r AS (SELECT * FROM production WHERE production_date >= {AS_OF} - {ML_DAYS}),
+k AS (SELECT tenant_id, AVG(downtime_min) AS a, MAX(downtime_min) AS b, COUNT(*) FILTER (downtime_min > 60) AS n,
+             SUM(defective_units) / NULLIF(SUM(units_produced), 0) AS rate, COUNT(*) AS c FROM r GROUP BY tenant_id),
+j AS (SELECT t.tenant_id, c >= 5 AS m, a, b, n, rate, a * 0.4 + b * 0.6 AS p, 1 - abs(a - b) / (abs(a) + abs(b) + 1) AS s
+      FROM tenants t LEFT JOIN k ON k.tenant_id = t.tenant_id),
+o AS (SELECT tenant_id, COALESCE(m, FALSE) AS m, CASE WHEN m THEN p ELSE 0.0 END AS prediction, CASE WHEN m THEN s ELSE 0.0 END AS confidence,
+        CAST(CASE WHEN m THEN n ELSE 0 END AS INTEGER) AS anomalies_detected, CASE WHEN m THEN p - abs(a - b) END AS band_lower,
+        CASE WHEN m THEN p + abs(a - b) END AS band_upper, CASE WHEN m THEN rate ELSE 0.0 END AS rate FROM j)
+SELECT tenant_id, prediction, confidence, anomalies_detected, band_lower, band_upper,
+  CASE WHEN prediction <= 15 THEN 'Low' WHEN prediction <= 30 THEN 'Medium' WHEN prediction <= 45 THEN 'High' ELSE 'Critical' END AS risk_level,
+  concat_ws(',', CASE WHEN prediction > 30 THEN 'maintenance/High' END, CASE WHEN anomalies_detected > 0 THEN 'quality/Medium' END,
+    CASE WHEN rate > 0.05 THEN 'quality/High' END) AS fired,
+  CASE WHEN m THEN 'Defect_Rate=0.25,Units Produced=0.75' ELSE '' END AS shares
+FROM o""", ("tenants", "production"))
+def m13_tenant_record_fields(fx):
+    """Every arithmetic field of the records, from simple stand-ins for the models."""
+    from .report import tenant_records
+    rows = _tenant_rows(fx)
+    k = rows.groupBy("tenant_id").agg(
+        F.avg("downtime_min").alias("forest_pred"), F.max("downtime_min").alias("boost_pred"),
+        F.count_if(F.col("downtime_min") > 60).alias("anomalies_detected"), F.count(F.lit(1)).alias("c")).filter("c >= 5")
+    none = F.lit(None).cast("double")
+    shares = k.select("tenant_id", F.explode(F.array(
+        F.struct(F.lit("units_produced").alias("feature"), F.lit(0.75).alias("importance")),
+        F.struct(F.lit("defect_rate").alias("feature"), F.lit(0.25).alias("importance")))).alias("s")).select("tenant_id", "s.*")
+    r = tenant_records(fx.tenants, rows, k.select("tenant_id", "forest_pred", "boost_pred", none.alias("forest_r2"), none.alias("boost_r2")),
+                       shares, k.select("tenant_id", "anomalies_detected"))
+    return r.select(
+        "tenant_id", "prediction", "confidence", "anomalies_detected", "band_lower", "band_upper", "risk_level",
+        F.array_join(F.transform("recommendations", lambda x: F.concat_ws("/", x["type"], x["priority"])), ",").alias("fired"),
+        F.array_join(F.transform(F.map_entries("feature_importance"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))),
+                     ",").alias("shares"))
+
+
 # ---------------------------------------------------------------- C3
 @query("c3_insight_bundle")
 def c3_insight_bundle(fx):
-    from .report import insight_bundle, tenant_predictions
-    p = fx.production
-    anomalies = _anomalies(fx).groupBy("tenant_id").agg(
-        F.count_if("is_anomaly").alias("anomalies_detected"))
-    return insight_bundle(p, tenant_predictions(p), anomalies,
-                          generated_at=F.lit(NOW).cast("timestamp"))
+    """KPIs of all days; predictions, importances and anomalies of each tenant's
+    own models over the ML window."""
+    from .report import insight_bundle, tenant_models
+    predictions, importances, anomalies = tenant_models(write_table(_tenant_rows(fx), "tenant-rows"), KEYS, ORDER_COLS)
+    return insight_bundle(fx.production, predictions, importances, anomalies, generated_at=F.lit(NOW).cast("timestamp"))
