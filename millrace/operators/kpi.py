@@ -33,6 +33,12 @@ def plant_kpis(prod: DataFrame, days: int = 7, as_of: AsOf = None,
         F.sum("defective_units").alias("sd"),
         F.avg("downtime_min").alias("ad"),
         F.sum("downtime_min").alias("st"))
+    return plant_kpis_of_sums(agg, days, as_of_col(as_of), machines, minutes_per_day)
+
+
+def plant_kpis_of_sums(agg: DataFrame, days: int, as_of: Column, machines: int = MACHINES_ASSUMED,
+                       minutes_per_day: int = MINUTES_PER_DAY) -> DataFrame:
+    """A1 from one row of sums: su units, sd defects, st downtime, ad its mean."""
     tu = _python_int_or_zero(F.col("su"))
     td = _python_int_or_zero(F.col("sd"))
     theo = F.lit(float(days * minutes_per_day * machines))
@@ -48,7 +54,7 @@ def plant_kpis(prod: DataFrame, days: int = 7, as_of: AsOf = None,
         F.round(total_down, 2).alias("total_downtime"),
         F.round(F.when(theo > 0, (theo - total_down) / theo * 100).otherwise(0.0), 2)
          .alias("efficiency"),
-        F.date_format(as_of_col(as_of), "yyyy-MM-dd").alias("report_date"))
+        F.date_format(as_of, "yyyy-MM-dd").alias("report_date"))
 
 
 def report_kpis(df: DataFrame, group_cols: list[str] | None = None,

@@ -50,5 +50,5 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> dict[str, Registered]:
     """Import every module that registers queries."""
-    from . import queries_core, queries_models, queries_rows, queries_text  # noqa: F401
+    from . import queries_core, queries_models, queries_rows, queries_text, queries_writes  # noqa: F401
     return REGISTRY

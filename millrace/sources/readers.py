@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean, tenancy
-from . import schemas, sinks
+from ..session import write_table
+from . import commits, schemas, sinks
 
 REQUIRED = ["production_date", "machine_id", "units_produced", "defective_units",
             "downtime_min", "shift"]
@@ -49,31 +50,33 @@ def missing_columns(df: DataFrame, required: list[str] | None = None) -> list[st
 
 
 def add_production_data(batch: DataFrame, tenant_id: str, tenants: DataFrame,
-                        table_path: str) -> bool:
+                        table_path: str, batch_id: str | None = None) -> bool:
     """S7 tenant batch ingest: all-or-nothing.
 
     P7 columns -> P8 tag -> J4 tenant known -> D2 constraints -> K2 append.
-    A missing column refuses the batch, an empty batch is a success. The checked batch is persisted once so the
-    checks and the append read the same rows.
+    A missing column refuses the batch, an empty batch is a success. The batch is
+    written once before the checks, so the checks and the append read the same
+    rows whatever executors are lost. With a ``batch_id`` the append is a commit
+    (``commits.read`` reads the table): a batch sent again is a success and adds
+    nothing.
     """
     if missing_columns(batch):
         return False
     tagged = tenancy.tag_tenant(batch.select(*REQUIRED), tenant_id)
-    tagged = tagged.withColumn("production_date", F.col("production_date").cast("date"))
-    checked = tagged.persist()
-    try:
-        if checked.isEmpty():
-            return True
-        verdict = tenancy.referential_check(checked, tenants).first()
-        if not verdict["accepted"]:
-            return False
-        _, rejected = clean.split_by_constraints(checked, "production")
-        if not rejected.isEmpty():
-            return False
-        sinks.append_tenant_production(checked, table_path)
+    checked = write_table(tagged.withColumn("production_date", F.col("production_date").cast("date")), "s7-batch")
+    if checked.isEmpty():
         return True
-    finally:
-        checked.unpersist()
+    verdict = tenancy.referential_check(checked, tenants).first()
+    if not verdict["accepted"]:
+        return False
+    _, rejected = clean.split_by_constraints(checked, "production")
+    if not rejected.isEmpty():
+        return False
+    if batch_id is None:
+        sinks.append_tenant_production(checked, table_path)
+    else:
+        commits.append(checked, table_path, f"{tenant_id}-{batch_id}", ["tenant_id", "production_date"])
+    return True
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

@@ -35,8 +35,9 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 def register(changes: DataFrame, table: str, log_path: str, tenants: DataFrame | None = None) -> bool:
     """Append ``changes`` (keys, set columns, ``seq``, ``changed_at``) to the log.
 
-    False, and nothing written, if a row breaks a D2 rule or, for machines and
-    users, names a tenant that ``tenants`` lacks.
+    False, and nothing written, if a row breaks a D2 rule, a tenant's id is
+    shorter than three characters (P9) or, for machines and users, a row names a
+    tenant that ``tenants`` lacks.
     """
     cols = KEYS[table] + SET_COLS[table]
     filled = changes.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS[table].items()})
@@ -44,6 +45,8 @@ def register(changes: DataFrame, table: str, log_path: str, tenants: DataFrame |
     _, rejected = clean.split_by_constraints(rows, table)
     if not rejected.isEmpty():
         return False
+    if table == "tenants" and not rows.filter(~tenancy.valid_tenant_id(F.col("tenant_id"))).isEmpty():
+        return False
     if table != "tenants" and not tenancy.unknown_tenant_rows(rows, tenants).isEmpty():
         return False
     rows.write.mode("append").parquet(log_path)

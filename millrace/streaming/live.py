@@ -6,7 +6,7 @@ record; each micro-batch is persisted and published in ``foreachBatch``
 (ST1/ST2). Offsets live in the checkpoint and every output is keyed by
 batch id, so a replayed batch overwrites its own output instead of
 duplicating it (ST3, effectively-once). ST4 keeps per-machine running KPIs
-as streaming aggregate state.
+and the plant's trailing days as streaming aggregate state.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import KEEP_NULLS
+from ..operators import kpi, windows
+from ..operators.common import last_day, trailing_window
 from ..sources.fixtures import live_from_events
 from ..sources.schemas import LIVE_RECORD
 
@@ -118,11 +120,8 @@ def start_live_kpis(records: DataFrame, checkpoint: str, table_path: str,
                     available_now: bool = False, tick: str = TICK) -> StreamingQuery:
     """ST4 append the machines that a batch changed (update mode) to a change
     log keyed by batch; ``live_kpi_table`` reads the latest state."""
-    def log(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
-
     w = (live_machine_kpis(records).writeStream.outputMode("update")
-         .foreachBatch(log).option("checkpointLocation", checkpoint))
+         .foreachBatch(_log(table_path)).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=tick)
     return w.start()
 
@@ -133,3 +132,83 @@ def live_kpi_table(spark: SparkSession, table_path: str) -> DataFrame:
     cols = [c for c in rows.columns if c not in ("machine_id", "batch_id")]
     return (rows.groupBy("machine_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("r"))
             .select("machine_id", "r.*"))
+
+
+# --------------------------------------------------------------------------
+# ST4, the plant's half: A1 over the last days of the stream
+# --------------------------------------------------------------------------
+
+def live_day_sums(records: DataFrame, days: int = 7) -> DataFrame:
+    """ST4 sums per day. The state holds one row a day: tasks sum before the
+    shuffle, and the watermark drops a day as soon as the trailing window of
+    ``days`` days before the last one has left it. Rows of such days are late and
+    no longer count."""
+    day = F.col("production_date").cast("timestamp")
+    return (records.withColumn("_day", day).withWatermark("_day", f"{days + 1} days").groupBy("_day")
+            .agg(F.sum("units_produced").alias("su"), F.sum("defective_units").alias("sd"),
+                 F.sum("downtime_min").alias("st"), F.count("downtime_min").alias("n"))
+            .select(F.col("_day").cast("date").alias("production_date"), "su", "sd", "st", "n"))
+
+
+def start_live_plant_kpis(records: DataFrame, checkpoint: str, table_path: str, days: int = 7,
+                          available_now: bool = False, tick: str = TICK) -> StreamingQuery:
+    """ST4 append the days that a batch changed to a change log keyed by batch."""
+    w = (live_day_sums(records, days).writeStream.outputMode("update")
+         .foreachBatch(_log(table_path)).option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=tick)
+    return w.start()
+
+
+def _log(table_path: str):
+    def log(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
+    return log
+
+
+def live_plant_kpis(spark: SparkSession, table_path: str, days: int = 7) -> DataFrame:
+    """ST4 the plant KPIs (A1) of the last ``days`` days seen: each day's latest
+    sums from the change log, its last day as the reference day."""
+    rows = spark.read.parquet(table_path)
+    day = rows.groupBy("production_date").agg(F.max_by(F.struct("su", "sd", "st", "n"), "batch_id").alias("r")).select(
+        "production_date", "r.*")
+    last = last_day(rows)
+    agg = trailing_window(day, days, last).agg(
+        F.sum("su").alias("su"), F.sum("sd").alias("sd"), F.sum("st").alias("st"),
+        F.try_divide(F.sum("st"), F.sum("n")).alias("ad"), F.max("production_date").alias("last"))
+    return kpi.plant_kpis_of_sums(agg, days, F.col("last"))
+
+
+# --------------------------------------------------------------------------
+# W8 as a stream: the latest reading of each machine
+# --------------------------------------------------------------------------
+
+READING = ["production_date", "units_produced", "defective_units", "downtime_min"]
+
+
+def start_latest_readings(records: DataFrame, checkpoint: str, table_path: str, key: str = "event_id",
+                          ts_col: str = "ts", watermark: str = "10 minutes", available_now: bool = False,
+                          tick: str = TICK) -> StreamingQuery:
+    """W8 the latest reading per machine, by event time.
+
+    A reading that is sent again within the watermark counts once; keys older
+    than the watermark leave the state. A batch is reduced to one row per machine
+    before it is logged, so the log grows with machines, not with readings.
+    """
+    once = (records.withColumn("_event", F.col(ts_col).cast("timestamp")).withWatermark("_event", watermark)
+            .dropDuplicatesWithinWatermark([key]).drop("_event"))
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        latest = windows.latest_reading(batch, ["machine_id"], [ts_col, key], READING)
+        seen = batch.groupBy("machine_id").agg(F.count(F.lit(1)).alias("n_readings"))
+        _log(table_path)(latest.join(seen, "machine_id"), batch_id)
+    w = once.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=tick)
+    return w.start()
+
+
+def latest_readings(spark: SparkSession, table_path: str, key: str = "event_id", ts_col: str = "ts") -> DataFrame:
+    """W8 the machines' latest readings and how many distinct ones were seen. A
+    late batch cannot replace a later reading, as event time decides."""
+    rows = spark.read.parquet(table_path)
+    last = windows.latest_reading(rows, ["machine_id"], [ts_col, key], READING)
+    return last.join(rows.groupBy("machine_id").agg(F.sum("n_readings").alias("n_readings")), "machine_id")
