@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import tenancy
 from ..operators.common import trailing_window
 from ..session import ensure_checkpoint_dir
-from ..sources import commits, readers, schemas
+from ..sources import commits, readers, registry, schemas
 from ..streaming import live
 from .catalog import query
 from .oracle_views import AS_OF
@@ -105,3 +105,22 @@ def p9_tenant_id_length(fx):
     ids = t.unionByName(t.select(F.substring("tenant_id", 1, 2).alias("tenant_id"))).unionByName(
         t.select(F.substring("tenant_id", 1, 3).alias("tenant_id")))
     return ids.select("tenant_id", tenancy.valid_tenant_id(F.col("tenant_id")).alias("valid"))
+
+
+@query("j7_stored_grants", """
+WITH off AS (SELECT DISTINCT user_id, tenant_id FROM user_grants WHERE seq % 2 = 0 AND tenant_id IN ('PLANT_03', 'PLANT_07'))
+SELECT g.user_id, g.tenant_id, user_name, user_email, role, off.user_id IS NULL AS is_active
+FROM (SELECT * FROM user_grants QUALIFY row_number() OVER (PARTITION BY user_id, tenant_id ORDER BY seq DESC) = 1) g
+LEFT JOIN off ON off.user_id = g.user_id AND off.tenant_id = g.tenant_id""", ("user_grants", "tenants"))
+def j7_stored_grants(fx):
+    """J7 from the stored grants: granted, some deactivated, compacted, granted
+    again, which keeps their activity."""
+    path, at = _folder(fx, "j7-grants"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    grants = fx.user_grants.drop("is_active").withColumn("changed_at", at)
+    registry.register(grants.filter("seq % 2 = 0"), "users", path, fx.tenants)
+    off = grants.filter("seq % 2 = 0 AND tenant_id IN ('PLANT_03', 'PLANT_07')").groupBy("user_id", "tenant_id").agg(
+        F.max("seq").alias("seq")).withColumns({"is_active": F.lit(False), "changed_at": at})
+    registry.set_active(off, "users", path)
+    registry.compact(fx.spark, "users", path)
+    registry.register(grants.filter("seq % 2 = 1"), "users", path, fx.tenants)
+    return registry.registered(fx.spark, "users", path).drop("created_at")

@@ -30,22 +30,27 @@ def _files(spark: SparkSession, path: str):
 def stage(df: DataFrame, table: str, partition_by: list[str]) -> str:
     """Write a batch where no reader looks yet; returns its token."""
     token = uuid.uuid4().hex
-    (df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{table}/data/batch={token}"))
+    df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{table}/data/batch={token}")
     return token
 
 
 def commit(spark: SparkSession, table: str, batch_id: str, token: str) -> bool:
     """Make a staged batch part of the table. False if its id was committed
     before; the files then stay unread."""
-    draft, final = f"{table}/drafts/{token}", f"{table}/commits/{batch_id}.json"
-    record = json.dumps({"batch_id": batch_id, "batch": token})
-    spark.createDataFrame([(record,)], "value string").coalesce(1).write.text(draft)
-    jvm, context = _files(spark, table)
+    return publish(spark, {"batch_id": batch_id, "batch": token}, f"{table}/commits", batch_id)
+
+
+def publish(spark: SparkSession, record: dict, folder: str, name: str) -> bool:
+    """Make ``folder/name.json`` hold ``record``, whole or not at all. False if
+    the name is taken."""
+    draft = f"{folder}-drafts/{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(draft)
+    jvm, context = _files(spark, folder)
     part = next(s.getPath() for s in _listed(context, jvm.Path(draft)) if s.getPath().getName().startswith("part-"))
-    context.mkdir(jvm.Path(f"{table}/commits"), None, True)
+    context.mkdir(jvm.Path(folder), None, True)
     none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        context.rename(part, jvm.Path(final), none)
+        context.rename(part, jvm.Path(f"{folder}/{name}.json"), none)
     except Exception as e:
         if "FileAlreadyExists" in str(e):
             return False
@@ -75,12 +80,13 @@ def append(df: DataFrame, table: str, batch_id: str, partition_by: list[str]) ->
     return commit(spark, table, batch_id, stage(df, table, partition_by))
 
 
-def read(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    """The committed rows. ``batch`` is a partition column, so the join with the
-    commits prunes folders."""
+def read(spark: SparkSession, table: str, schema: T.StructType, batches: DataFrame | None = None) -> DataFrame:
+    """The committed rows, or those of ``batches`` (batch). ``batch`` is a
+    partition column, so the join prunes folders."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
     try:
         rows = spark.read.schema(full).parquet(f"{table}/data")
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return rows.join(committed(spark, table).select("batch"), "batch", "left_semi").select(*schema.fieldNames())
+    of = committed(spark, table) if batches is None else batches
+    return rows.join(of.select("batch"), "batch", "left_semi").select(*schema.fieldNames())

@@ -108,27 +108,27 @@ def test_registry_and_migration(spark, tmp_dir):
     t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
     tenants = os.path.join(tmp_dir, "tenants")
     cols = "tenant_id string, tenant_name string, plant_location string, timezone string, config string, seq int, changed_at timestamp"
-    assert registry.register(spark.createDataFrame([("A", "one", "x", None, None, 1, t0), ("A", "two", None, "CET", "{}", 2, t1),
-                                                    ("B", "b", "y", None, None, 1, t0)], cols), "tenants", tenants)
-    assert not registry.register(spark.createDataFrame([("C", None, "x", None, None, 3, t0)], cols), "tenants", tenants)
+    assert registry.register(spark.createDataFrame([("P_A", "one", "x", None, None, 1, t0), ("P_A", "two", None, "CET", "{}", 2, t1),
+                                                    ("P_B", "b", "y", None, None, 1, t0)], cols), "tenants", tenants)
+    assert not registry.register(spark.createDataFrame([("P_C", None, "x", None, None, 3, t0)], cols), "tenants", tenants)
     now = registry.registered(spark, "tenants", tenants)
     rows = {r.tenant_id: r for r in now.collect()}
-    assert set(rows) == {"A", "B"}
-    assert (rows["A"].tenant_name, rows["A"].plant_location, rows["A"].timezone) == ("two", None, "CET")
-    assert rows["B"].timezone == "UTC" and rows["A"].created_at == t0 and rows["A"].updated_at == t1
+    assert set(rows) == {"P_A", "P_B"}
+    assert (rows["P_A"].tenant_name, rows["P_A"].plant_location, rows["P_A"].timezone) == ("two", None, "CET")
+    assert rows["P_B"].timezone == "UTC" and rows["P_A"].created_at == t0 and rows["P_A"].updated_at == t1
     machines = os.path.join(tmp_dir, "machines")
     mcols = "tenant_id string, machine_id string, machine_name string, machine_type string, capacity_units_per_hour double, seq int, changed_at timestamp"
-    good, bad = ("A", "m", "n", "t", None, 1, t0), ("Z", "m", "n", "t", 1.0, 2, t0)
+    good, bad = ("P_A", "m", "n", "t", None, 1, t0), ("P_Z", "m", "n", "t", 1.0, 2, t0)
     assert not registry.register(spark.createDataFrame([good, bad], mcols), "machines", machines, now)
     assert registry.register(spark.createDataFrame([good], mcols), "machines", machines, now)
     assert registry.registered(spark, "machines", machines).count() == 1
 
     target = os.path.join(tmp_dir, "target")
-    assert registry.migrate(spark, "no_such_table", "A", target) and not os.path.exists(target)
+    assert registry.migrate(spark, "no_such_table", "P_A", target) and not os.path.exists(target)
     spark.createDataFrame([(dt.date(2024, 1, 1), "m", 1.0, 0.0, 0.0, "Night")] * 2 + [(dt.date(2024, 1, 2), "m", 1.0, 0.0, 0.0, None)],
                           "production_date date, machine_id string, units_produced double, defective_units double, "
                           "downtime_min double, shift string").createOrReplaceTempView("legacy_rows")
     for _ in range(2):
-        assert registry.migrate(spark, "legacy_rows", "A", target)
+        assert registry.migrate(spark, "legacy_rows", "P_A", target)
         assert spark.read.parquet(target).count() == 3
-    assert registry.migrate(spark, "legacy_rows", "B", target) and spark.read.parquet(target).count() == 6
+    assert registry.migrate(spark, "legacy_rows", "P_B", target) and spark.read.parquet(target).count() == 6
