@@ -42,6 +42,16 @@ def s7_replayed_batch(fx):
     return commits.read(fx.spark, table, TENANT_SCHEMA)
 
 
+@query("k1_archive_replayed", """
+SELECT production_date, machine_id, units_produced, defective_units, downtime_min, shift FROM live_records""", ("live_records",))
+def k1_archive_replayed(fx):
+    """K1: live records archived twice under one run id."""
+    table, rows = _folder(fx, "k1-archive"), fx.live_records.select(*STORED)
+    for _ in range(2):
+        commits.append(rows, table, "run-1", ["production_date"])
+    return commits.read(fx.spark, table, rows.schema)
+
+
 def _stream(fx):
     return live.event_stream(fx.spark, f"{fx.sf_dir}/event[s].parquet")
 
