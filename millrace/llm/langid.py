@@ -28,9 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, materialize, small_side
 
 SLICE_CHARS = 1_000_000
+
+#: training documents of all languages; shared equally beyond 100 languages
+TRAIN_ROWS = 150_000
 _letters: list[np.ndarray] = []
 
 
@@ -132,12 +135,17 @@ def calibrate(logits: np.ndarray, lang: np.ndarray, precision: float) -> tuple[f
 def fit(docs: DataFrame, train_per_lang: int, grams_per_doc: int, sizes: tuple, buckets: int,
         dim: int, epochs: int, precision: float, seed: int):
     """(languages, table, bias, temperature, floor) from training documents."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"))
-    picked = (docs.filter((id_bucket("doc_id", 5) != 0) & F.col("lang").isNotNull()
-                          & F.col("text").isNotNull())
-              .select("doc_id", "lang").withColumn("_r", F.row_number().over(order))
-              .filter(F.col("_r") <= train_per_lang).select("doc_id", "lang").distinct())
-    picked = F.broadcast(picked.limit(100 * train_per_lang))
+    rank = F.xxhash64(F.lit(seed), "doc_id")
+    known = docs.filter((id_bucket("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "langs")
+    quota = max(1, min(train_per_lang, TRAIN_ROWS // max(1, counts.count())))
+    # a language's smallest hashes, thinned to about twice the quota before they are put in order
+    near = (known.select("doc_id", "lang").join(small_side(counts), "lang")
+            .filter(rank / F.lit(2.0 ** 64) + 0.5 <= F.lit(2.0 * quota) / F.col("_n")))
+    order = Window.partitionBy("lang").orderBy(rank, F.col("doc_id"))
+    picked = (near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= quota)
+              .select("doc_id", "lang").distinct())
+    picked = small_side(materialize(picked, "picked"))
     rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +192,11 @@ def logits_of(texts: list, table: np.ndarray, sizes: tuple, buckets: int) -> tup
 def identify(docs: DataFrame, train_per_lang: int = 1_500, grams_per_doc: int = 256,
              sizes: tuple = (2, 3, 4), buckets: int = 1 << 16, dim: int = 16, epochs: int = 5,
              precision: float = 0.995, seed: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, accepted for every row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, accepted for every row of ``docs``.
+
+    Learns from at most ``train_per_lang`` documents a language, those of the
+    smallest hashes, and at most ``TRAIN_ROWS`` in all (one a language at least).
+    """
     langs, table, bias, heat, floor = fit(docs, train_per_lang, grams_per_doc, sizes, buckets,
                                           dim, epochs, precision, seed)
 
