@@ -389,8 +389,8 @@ GAIN_BINS = 16
 
 _M5 = f"""
 WITH {_M1.strip()},
-t AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '42', {KEY_SQL})), 1, 8) AS BIGINT) % 100) < 80 AS is_train FROM m1),
-x AS (SELECT * FROM (UNPIVOT (SELECT {KEY_SQL}, tenant_id, downtime_min, {", ".join(FEATS)} FROM t WHERE is_train)
+t AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, (CAST('0x' || substr(md5(concat_ws('|', '42', {KEY_SQL})), 1, 8) AS BIGINT) % 100) < 80 AS is_train FROM m1),
+x AS (SELECT * FROM (UNPIVOT (SELECT rid, tenant_id, downtime_min, {", ".join(FEATS)} FROM t WHERE is_train)
       ON {", ".join(FEATS)} INTO NAME name VALUE v)),
 y AS (SELECT *, list_position([{", ".join(f"'{c}'" for c in FEATS)}], name) - 1 AS feature,
              min(v) OVER (PARTITION BY tenant_id, name) AS lo, max(v) OVER (PARTITION BY tenant_id, name) AS hi FROM x),
@@ -404,8 +404,7 @@ s1 AS (SELECT *, round((gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl +
        FROM c1 WHERE hl >= 1 AND ht - hl >= 1),
 k1 AS (SELECT * FROM s1 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY tenant_id, node ORDER BY gain DESC, feature, bin) = 1),
 n2 AS (SELECT g0.*, 2 + CAST(o.bin > k1.bin AS INTEGER) AS node FROM g0 JOIN k1 ON g0.tenant_id = k1.tenant_id
-       JOIN g0 o ON o.tenant_id = g0.tenant_id AND o.feature = k1.feature AND o.l_orderkey = g0.l_orderkey
-        AND o.l_linenumber = g0.l_linenumber AND o.l_partkey = g0.l_partkey AND o.l_suppkey = g0.l_suppkey),
+       JOIN g0 o ON o.tenant_id = g0.tenant_id AND o.feature = k1.feature AND o.rid = g0.rid),
 h2 AS (SELECT tenant_id, node, feature, bin, SUM(g) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM n2 GROUP BY ALL),
 c2 AS (SELECT *, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER p AS gt, SUM(h) OVER p AS ht FROM h2
        WINDOW p AS (PARTITION BY tenant_id, node, feature), w AS (PARTITION BY tenant_id, node, feature ORDER BY bin)),
