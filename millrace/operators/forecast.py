@@ -3,8 +3,9 @@
 Series are daily: rows are first reduced to one value per (series, day)
 (an aggregate), so a busy machine contributes one row per day no matter how
 many records it has. Model state per series is tiny (10 AR coefficients, a
-slope, an intercept, 7 weekday effects), so fits are grouped aggregates or a
-grouped numpy solve over at most one row per day of history.
+slope, an intercept, 7 weekday effects), so fits are grouped aggregates solved
+by array folds; only the changepoint model is a grouped numpy solve, over at
+most one row per day of history.
 
 Three models replace the reference's neural network and Prophet models:
 * ``ar``: linear autoregression on the 10 previous min-max scaled values
@@ -13,13 +14,14 @@ Three models replace the reference's neural network and Prophet models:
 * ``trend_weekday``: least-squares linear trend plus the mean weekday
   residual (a Prophet-like trend + weekly seasonality without changepoints);
 * ``trend_changepoint``: piecewise-linear trend (25 changepoints) + weekly
-  Fourier terms by least squares with Gaussian penalties of the priors' scales
-  (that model family's own changepoint prior is Laplace), solved per series in
-  numpy.
+  Fourier terms; changes of trend have a Laplace prior, so most are exactly
+  zero, and bands widen by simulated changes to come.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,39 +143,48 @@ def ar_training_rows(daily: DataFrame, series: list[str], lookback: int = LOOKBA
                            F.floor(F.col("n_seq") * F.lit(0.8)))
 
 
-def _solver(series: list[str], lookback: int, ridge: float):
-    lag_cols = [f"lag_{j}" for j in range(lookback, 0, -1)]   # oldest .. newest
+def normal_equations(rows: DataFrame, series: list[str], lookback: int = LOOKBACK) -> DataFrame:
+    """(series, m, n_train): the augmented matrix [X'X | X'y] of each series.
+
+    X is 1 and the lags, oldest first. Every entry is a sum, so a series is
+    combined map-side; a series too short for the 80 % split uses all its rows.
+    """
+    x = ["_one"] + [f"lag_{j}" for j in range(lookback, 0, -1)] + ["y_scaled"]
+    used = rows.withColumn("_one", F.lit(1.0)).filter(
+        F.col("is_train") | (F.floor(F.col("n_seq") * F.lit(0.8)) < 1))
+    pairs = [(i, j) for i in range(lookback + 1) for j in range(i, lookback + 2)]
+    sums = used.groupBy(*series).agg(F.count(F.lit(1)).cast("int").alias("n_train"),
+                                     *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"_s{i}_{j}") for i, j in pairs])
+    m = F.array(*[F.array(*[F.col(f"_s{min(i, j)}_{max(i, j)}") for j in range(lookback + 2)])
+                  for i in range(lookback + 1)])
+    return sums.select(*series, m.alias("m"), "n_train")
+
+
+def solve_rows(m: Column, size: int) -> Column:
+    """Solution of a positive definite system given as rows [A | b]: a fold of
+    Gauss-Jordan steps (no pivoting is needed for such a matrix)."""
+    def clear(acc: Column, k: Column) -> Column:
+        pivot = F.get(acc, k)
+        return F.transform(acc, lambda row, i: F.when(i == k, row).otherwise(F.zip_with(
+            row, pivot, lambda a, p: a - p * (F.get(row, k) / F.get(pivot, k)))))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr = pdf[pdf["is_train"]]
-        if len(tr) == 0:
-            tr = pdf
-        x = np.column_stack([np.ones(len(tr)), tr[lag_cols].to_numpy(dtype="float64")])
-        y = tr["y_scaled"].to_numpy(dtype="float64")
-        a = x.T @ x + ridge * np.eye(x.shape[1])
-        a[0, 0] -= ridge                     # no penalty on the intercept
-        beta = np.linalg.solve(a, x.T @ y)
-        out = {k: [pdf[k].iloc[0]] for k in series}
-        out["intercept"] = [float(beta[0])]
-        out["coef"] = [beta[1:].tolist()]
-        out["n_train"] = [int(len(tr))]
-        return pd.DataFrame(out)
-    return solve
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), m, clear)
+    return F.transform(done, lambda row, i: F.get(row, F.lit(size)) / F.get(row, i))
 
 
 def fit_ar(daily: DataFrame, series: list[str], lookback: int = LOOKBACK,
            ridge: float = 1e-6, date_col: str = "production_date") -> DataFrame:
     """M16 per-series least squares AR(lookback) on the training 80 %.
 
-    One group per series holding at most one row per day of history, solved
-    with numpy (a (lookback+1)^2 system).
+    The normal equations are one aggregate, the (lookback + 1)-square system
+    of a series is solved by an array fold. The intercept carries no ridge.
     """
-    rows = ar_training_rows(daily, series, lookback, date_col)
-    schema_fields = ", ".join(f"{s} string" for s in series)
-    schema = f"{schema_fields}, intercept double, coef array<double>, n_train int"
-    return (rows.select(*[F.col(s).cast("string") for s in series], "is_train", "y_scaled",
-                        *[f"lag_{j}" for j in range(1, lookback + 1)])
-            .groupBy(*series).applyInPandas(_solver(series, lookback, ridge), schema))
+    eq = normal_equations(ar_training_rows(daily, series, lookback, date_col), series, lookback)
+    ridged = F.transform("m", lambda row, i: F.transform(row, lambda v, j: F.when(
+        (i == j) & (i > 0), v + F.lit(ridge)).otherwise(v)))
+    return (eq.withColumn("_b", solve_rows(ridged, lookback + 1))
+            .select(*series, F.get("_b", F.lit(0)).alias("intercept"),
+                    F.slice("_b", 2, lookback).alias("coef"), "n_train"))
 
 
 def ar_state(daily: DataFrame, series: list[str], lookback: int = LOOKBACK,
@@ -270,68 +281,185 @@ CHANGEPOINT_RANGE = 0.8
 WEEKLY_ORDER = 3
 
 
+TREND_DRAWS = 1000   # simulated futures behind a band
+SCHEMA_FIT = ("n_days long, first_date date, last_date date, span double, scale double, noise double, "
+              "changepoints array<double>, trend array<double>, deltas array<double>, weekly array<double>, "
+              "resid_sd double, dev_lower array<double>, dev_upper array<double>")
+
+
 def _design(t: np.ndarray, cps: np.ndarray, days: np.ndarray) -> np.ndarray:
     cols = [np.ones_like(t), t]
-    cols += [np.maximum(t - c, 0.0) for c in cps]
     for n in range(1, WEEKLY_ORDER + 1):
         ang = 2 * np.pi * n * days / 7.0
         cols += [np.sin(ang), np.cos(ang)]
+    cols += [np.maximum(t - c, 0.0) for c in cps]
     return np.column_stack(cols)
 
 
+def sparse_solve(s: np.ndarray, c: np.ndarray, lam: float) -> np.ndarray:
+    """Minimiser of x's x / 2 - c'x + lam |x|_1 by feature-sign search.
+
+    A zero coefficient whose gradient exceeds ``lam`` joins with that sign, the
+    signed system is solved, and the best point up to the first sign changes is
+    taken: every step lowers the objective, and zeros are exact.
+    """
+    x = np.zeros(len(c))
+    tol = 1e-9 * max(lam, float(np.abs(c).max(initial=0.0)), 1e-12)
+
+    def cost(v):
+        return 0.5 * v @ s @ v - c @ v + lam * np.abs(v).sum()
+
+    for _ in range(40 * len(c)):
+        g = s @ x - c
+        sign = np.sign(x)
+        if np.all(np.abs(g + lam * sign)[sign != 0] <= tol):
+            excess = np.where(sign == 0, np.abs(g) - lam, -np.inf)
+            if excess.size == 0 or excess.max() <= tol:
+                break
+            j = int(excess.argmax())
+            sign[j] = -np.sign(g[j])
+        act = np.flatnonzero(sign)
+        new = np.zeros_like(x)
+        new[act] = np.linalg.solve(s[np.ix_(act, act)], c[act] - lam * sign[act])
+        flips = [k for k in act if x[k] != 0 and x[k] * new[k] < 0]
+        tries = [new]
+        for k in flips:
+            at = x + (x[k] / (x[k] - new[k])) * (new - x)
+            at[k] = 0.0
+            tries.append(at)
+        x = min(tries, key=cost)
+    return x
+
+
+def _fit_changepoints(days: np.ndarray, y: np.ndarray):
+    """Most probable trend, changes and weekly terms of one series (days from 0)."""
+    span, scale = max(days[-1], 1.0), max(np.abs(y).max(), 1e-12)
+    t, ys = days / span, y / scale
+    hist_days = days[: max(int(len(days) * CHANGEPOINT_RANGE), 1)]
+    n_cp = min(N_CHANGEPOINTS, max(len(hist_days) - 1, 0))
+    cps = np.quantile(hist_days, np.linspace(0, 1, n_cp + 2)[1:-1]) / span if n_cp else np.array([])
+    x = _design(t, cps, days)
+    free = 2 + 2 * WEEKLY_ORDER
+    gram, xy = x.T @ x, x.T @ ys
+    beta0, *_ = np.linalg.lstsq(x[:, :free], ys, rcond=None)
+    s2 = max(float(np.mean((ys - x[:, :free] @ beta0) ** 2)), 1e-8)
+    for _ in range(20):      # noise and coefficients in turn; a fit belongs to the noise before it
+        pen = np.r_[np.full(2, 1e-9), np.full(2 * WEEKLY_ORDER, s2 / SEASONALITY_PRIOR ** 2)]
+        inner = gram[:free, :free] + np.diag(pen)
+        lift = np.linalg.solve(inner, np.column_stack([gram[:free, free:], xy[:free]]))
+        s = gram[free:, free:] - gram[free:, :free] @ lift[:, :-1]
+        s[np.diag_indices_from(s)] += 1e-9
+        delta = sparse_solve(s, xy[free:] - gram[free:, :free] @ lift[:, -1], s2 / CHANGEPOINT_PRIOR)
+        beta = np.r_[lift[:, -1] - lift[:, :-1] @ delta, delta]
+        now = max(float(np.mean((ys - x @ beta) ** 2)), 1e-8)
+        if abs(now - s2) <= 1e-3 * s2:
+            break
+        used, s2 = s2, now
+    else:
+        s2 = used
+    return span, scale, s2, cps, beta, ys - x @ beta
+
+
 def _changepoint_model(series: list[str], horizon: int):
+    free = 2 + 2 * WEEKLY_ORDER
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        day0 = pdf["ds"].iloc[0]
-        days = pdf["ds"].to_numpy("datetime64[D]").astype("float64")
-        days = days - days[0]
-        y = pdf["y"].to_numpy(dtype="float64")
-        span = max(days[-1], 1.0)
-        scale = max(np.abs(y).max(), 1e-12)
-        t, ys = days / span, y / scale
-        hist_days = days[: max(int(len(days) * CHANGEPOINT_RANGE), 1)]
-        n_cp = min(N_CHANGEPOINTS, max(len(hist_days) - 1, 0))
-        cps = (np.quantile(hist_days, np.linspace(0, 1, n_cp + 2)[1:-1]) / span
-               if n_cp else np.array([]))
-        x = _design(t, cps, days)
-        # noise scale from a first unpenalised fit without changepoints
-        base = np.delete(x, np.s_[2:2 + len(cps)], axis=1)
-        beta0, *_ = np.linalg.lstsq(base, ys, rcond=None)
-        s2 = max(float(np.mean((ys - base @ beta0) ** 2)), 1e-12)
-        pen = np.zeros(x.shape[1])
-        pen[2:2 + len(cps)] = s2 / CHANGEPOINT_PRIOR ** 2
-        pen[2 + len(cps):] = s2 / SEASONALITY_PRIOR ** 2
-        beta = np.linalg.solve(x.T @ x + np.diag(pen), x.T @ ys)
-        fitted = x @ beta
-        resid_sd = float(np.std(ys - fitted, ddof=1)) if len(ys) > 1 else 0.0
-        fut_days = days[-1] + np.arange(1, horizon + 1, dtype="float64")
-        all_days = np.concatenate([days, fut_days])
-        yhat = _design(all_days / span, cps, all_days) @ beta * scale
-        half = Z80 * resid_sd * scale
-        out = pd.DataFrame({
-            "ds": (np.datetime64(day0, "D") + all_days.astype("timedelta64[D]")).astype(object),
-            "step": np.r_[np.zeros(len(days), dtype="int32"),
-                          np.arange(1, horizon + 1, dtype="int32")],
-            "yhat": yhat, "lower": yhat - half, "upper": yhat + half})
-        for s in series:
-            out.insert(0, s, pdf[s].iloc[0])
-        return out
+        dates = pdf["ds"].to_numpy("datetime64[D]")
+        days = (dates - dates[0]).astype("float64")
+        span, scale, s2, cps, beta, resid = _fit_changepoints(days, pdf["y"].to_numpy(dtype="float64"))
+        sd = float(np.std(resid, ddof=1)) if len(resid) > 1 else 0.0
+        # futures: changes come at the history's rate, as large as those found
+        rng = np.random.default_rng(zlib.crc32("\x1f".join(str(pdf[k].iloc[0]) for k in series).encode()))
+        ahead = np.arange(1, horizon + 1) / span
+        n_new = rng.poisson(len(cps) * ahead[-1], TREND_DRAWS)
+        size = (float(np.abs(beta[free:]).mean()) if len(cps) else 0.0) + 1e-8
+        dev = rng.normal(0.0, sd, (TREND_DRAWS, horizon))
+        for k in range(int(n_new.max(initial=0))):
+            at = rng.uniform(0.0, ahead[-1], TREND_DRAWS)[:, None]
+            change = np.where(n_new > k, rng.laplace(0.0, size, TREND_DRAWS), 0.0)[:, None]
+            dev += change * np.maximum(ahead[None, :] - at, 0.0)
+        lower, upper = np.quantile(dev * scale, [0.1, 0.9], axis=0)
+        row = {k: pdf[k].iloc[0] for k in series} | {
+            "n_days": len(days), "first_date": pdf["ds"].iloc[0], "last_date": pdf["ds"].iloc[-1],
+            "span": span, "scale": scale, "noise": s2, "changepoints": cps.tolist(),
+            "trend": beta[:2].tolist(), "deltas": beta[free:].tolist(), "weekly": beta[2:free].tolist(),
+            "resid_sd": sd * scale, "dev_lower": lower.tolist(), "dev_upper": upper.tolist()}
+        return pd.DataFrame([row])
     return fit
 
 
-def changepoint_forecast(daily: DataFrame, series: list[str], horizon: int = HORIZON,
-                         date_col: str = "production_date") -> DataFrame:
-    """M19b/M20 fitted history + ``horizon`` future days per series.
+def changepoint_fits(daily: DataFrame, series: list[str], horizon: int = HORIZON,
+                     date_col: str = "production_date") -> DataFrame:
+    """M19b one row of coefficients per series of at least 10 days.
 
-    One grouped numpy solve per series over at most one row per day of
-    history (a (29 + 2 x 3)-column penalised least squares). Series below
-    the 10-day gate get no forecast.
+    Coefficients are for y / ``scale`` over t = days / ``span``; ``noise`` is the
+    variance the penalties were weighed with. ``dev_lower`` and ``dev_upper`` are
+    the band around each future day, from ``TREND_DRAWS`` futures drawn with a
+    seed of the series' name.
     """
     gate = daily.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")) \
                 .filter(F.col("_n") >= MIN_TREND_ROWS).drop("_n")
     src = (daily.join(gate, series, "left_semi")
            .select(*[F.col(s).cast("string") for s in series],
                    F.col(date_col).alias("ds"), F.col("y").cast("double")))
-    schema = ", ".join(f"{s} string" for s in series) + \
-        ", ds date, step int, yhat double, lower double, upper double"
+    schema = ", ".join(f"{s} string" for s in series) + ", " + SCHEMA_FIT
     return src.groupBy(*series).applyInPandas(_changepoint_model(series, horizon), schema)
+
+
+def changepoint_value(ds: Column) -> Column:
+    """The fitted value of a day, from the columns of ``changepoint_fits``."""
+    day = F.datediff(ds, F.col("first_date")).cast("double")
+    t = day / F.col("span")
+    value = F.get("trend", F.lit(0)) + F.get("trend", F.lit(1)) * t
+    value = value + F.aggregate(F.zip_with("changepoints", "deltas", lambda c, d: d * F.greatest(t - c, F.lit(0.0))),
+                                F.lit(0.0), lambda a, v: a + v)
+    for n in range(1, WEEKLY_ORDER + 1):
+        ang = day * (2 * np.pi * n / 7.0)
+        value = value + F.get("weekly", F.lit(2 * n - 2)) * F.sin(ang) + F.get("weekly", F.lit(2 * n - 1)) * F.cos(ang)
+    return value * F.col("scale")
+
+
+def changepoint_forecast(daily: DataFrame, series: list[str], horizon: int = HORIZON,
+                         date_col: str = "production_date") -> DataFrame:
+    """M19b/M20 fitted history + ``horizon`` future days per series.
+
+    One grouped numpy fit per series over at most one row per day of history
+    (``changepoint_fits``); values follow from its coefficients by column
+    expressions. Series below the 10-day gate get no forecast.
+    """
+    fits = write_table(changepoint_fits(daily, series, horizon, date_col), "m19b-fits")
+    frame = future_frame(fits, series, horizon).unionByName(
+        daily.select(*[F.col(s).cast("string") for s in series], F.lit(0).alias("step"), F.col(date_col).alias("ds")))
+    yhat, half = changepoint_value(F.col("ds")), F.col("resid_sd") * Z80
+    past = F.col("step") == 0
+    return (frame.join(fits, series, "inner").select(
+        *series, "ds", "step", yhat.alias("yhat"),
+        (yhat + F.when(past, -half).otherwise(F.get("dev_lower", F.col("step") - 1))).alias("lower"),
+        (yhat + F.when(past, half).otherwise(F.get("dev_upper", F.col("step") - 1))).alias("upper")))
+
+
+def changepoint_optimality(daily: DataFrame, fits: DataFrame, series: list[str], tol: float = 1e-5,
+                           date_col: str = "production_date") -> DataFrame:
+    """(series, n_days, n_changepoints, optimal): is each fit a minimum?
+
+    At a minimum of the penalised objective the residuals' product with a
+    changepoint's column is ``noise / prior`` with the change's sign, or no
+    larger if there is no change; with level and slope it is zero.
+    """
+    day = F.datediff(F.col(date_col), F.col("first_date")).cast("double")
+    r = (daily.select(*[F.col(s).cast("string") for s in series], date_col, "y").join(fits, series)
+         .withColumn("_t", day / F.col("span"))
+         .withColumn("_r", (F.col("y") - changepoint_value(F.col(date_col))) / F.col("scale")))
+    free = r.groupBy(*series).agg(F.first("n_days").alias("n_days"), F.size(F.first("changepoints")).alias("n_changepoints"),
+                                  (F.greatest(F.abs(F.sum("_r")), F.abs(F.sum(F.col("_r") * F.col("_t")))) <=
+                                   tol * F.first("n_days")).alias("_free"))
+    per = (r.select(*series, "noise", "_t", "_r", F.posexplode(F.arrays_zip("changepoints", "deltas")).alias("_j", "_x"))
+           .groupBy(*series, "_j").agg(F.sum(F.col("_r") * F.greatest(F.col("_t") - F.col("_x.changepoints"), F.lit(0.0))).alias("_g"),
+                                       F.first("_x.deltas").alias("_d"), F.first("noise").alias("_s2")))
+    lam = F.col("_s2") / CHANGEPOINT_PRIOR
+    held = F.when(F.col("_d") == 0, F.abs("_g") <= lam + tol).otherwise(
+        F.abs(F.col("_g") - lam * F.signum("_d")) <= tol)
+    bends = per.groupBy(*series).agg(F.bool_and(held).alias("_bends"))
+    return free.join(bends, series, "left").select(
+        *series, "n_days", "n_changepoints", (F.col("_free") & F.coalesce("_bends", F.lit(True))).alias("optimal"))

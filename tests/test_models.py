@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import anomaly, forecast, ml, windows
+from millrace.operators import anomaly, forecast, kpi, ml, windows
 
 
 def test_block_halo_matches_plain_window(spark):
@@ -87,6 +87,88 @@ def test_changepoint_model_follows_a_trend_break(spark):
         assert r.lower <= r.yhat <= r.upper
 
 
+def test_two_breaks_are_found_sparsely_and_bands_cover(spark):
+    rng = np.random.default_rng(3)
+    start = dt.date(2023, 1, 1)
+
+    def level(d):
+        return 30 + 0.1 * d - 0.25 * max(d - 80, 0) + 0.3 * max(d - 160, 0)
+
+    rows = [(f"S{k:02d}", start + dt.timedelta(days=d), level(d) + float(rng.normal(0, 1.0)))
+            for k in range(30) for d in range(247)]
+    full = spark.createDataFrame(rows, "machine_id string, production_date date, y double")
+    daily = full.filter(F.col("production_date") < start + dt.timedelta(days=240))
+    fits = forecast.changepoint_fits(daily, ["machine_id"]).toPandas()
+    for _, f in fits.iterrows():
+        at, size = np.array(f.changepoints) * f.span, np.array(f.deltas)
+        big = np.abs(size) > 0.1 * np.abs(size).max()
+        assert (size == 0).sum() >= 12, size
+        assert all(min(abs(a - 80), abs(a - 160)) <= 25 for a in at[big]), at[big]
+    fc = forecast.changepoint_forecast(daily, ["machine_id"]).filter("step > 0")
+    hit = fc.join(full.withColumnRenamed("production_date", "ds"), ["machine_id", "ds"]).select(
+        F.avg((F.col("y").between(F.col("lower"), F.col("upper"))).cast("int"))).first()[0]
+    assert 0.65 <= hit <= 0.95, hit
+    wide = fc.groupBy("step").agg(F.avg(F.col("upper") - F.col("lower")).alias("w")).orderBy("step").collect()
+    assert wide[6].w > wide[0].w * 0.98
+    checked = forecast.changepoint_optimality(daily, spark.createDataFrame(fits, forecast.changepoint_fits(
+        daily, ["machine_id"]).schema), ["machine_id"]).collect()
+    assert len(checked) == 30 and all(r.optimal and r.n_changepoints == 25 for r in checked)
+
+
+def test_sparse_solve_is_the_minimum():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 12):
+        a = rng.normal(size=(n + 4, n))
+        s, c, lam = a.T @ a, rng.normal(size=n) * 3, 0.8
+        x = forecast.sparse_solve(s, c, lam)
+        z = np.zeros(n)
+        for _ in range(20000):        # proximal gradient, slow and simple
+            v = z - (s @ z - c) / np.linalg.norm(s, 2)
+            z = np.sign(v) * np.maximum(np.abs(v) - lam / np.linalg.norm(s, 2), 0)
+        assert np.abs(x - z).max() < 1e-6
+    assert len(forecast.sparse_solve(np.zeros((0, 0)), np.zeros(0), 1.0)) == 0
+
+
+def test_short_and_constant_series_have_fits(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [(m, start + dt.timedelta(days=d), v) for m, n, v in (("short", 11, 2.0), ("flat", 40, 3.0), ("tiny", 5, 1.0))
+            for d in range(n)]
+    daily = spark.createDataFrame(rows, "machine_id string, production_date date, y double")
+    ar = {r.machine_id: r for r in forecast.fit_ar(daily, ["machine_id"]).collect()}
+    assert set(ar) == {"short", "flat"} and ar["short"].n_train == 1
+    assert all(np.isfinite([r.intercept, *r.coef]).all() for r in ar.values())
+    fc = forecast.changepoint_forecast(daily, ["machine_id"]).filter("step > 0").collect()
+    assert {r.machine_id for r in fc} == {"short", "flat"}
+    for r in fc:
+        assert abs(r.yhat - (2.0 if r.machine_id == "short" else 3.0)) < 0.05
+
+
+def test_ar_matches_numpy(spark):
+    rng = np.random.default_rng(1)
+    start = dt.date(2024, 1, 1)
+    y = rng.normal(size=120).cumsum()
+    daily = spark.createDataFrame([("A", start + dt.timedelta(days=d), float(v)) for d, v in enumerate(y)],
+                                  "machine_id string, production_date date, y double")
+    got = forecast.fit_ar(daily, ["machine_id"]).first()
+    ys = (y - y.min()) / (y.max() - y.min())
+    x = np.array([[1.0, *ys[i - 10:i]] for i in range(10, 120)])[:88]
+    want = np.linalg.solve(x.T @ x + np.diag([0.0] + [1e-6] * 10), x.T @ ys[10:98])
+    assert got.n_train == 88 and np.abs(np.array([got.intercept, *got.coef]) - want).max() < 1e-7
+
+
+def test_bootstrap_interval(spark):
+    rows = [("a", i, float(i % 10)) for i in range(400)] + [("b", 1, 5.0), ("c", 2, None), (None, 3, 1.0), (None, 4, 3.0)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    out = {r.g: r for r in kpi.bootstrap_interval(df, ["g"], "v", ["g", "k"]).collect()}
+    assert set(out) == {"a", "b", None}
+    a = out["a"]
+    se = 2.8723 / 20
+    assert a.n == 400 and a.mean == 4.5 and abs((a.upper - a.lower) / (2 * 1.96 * se) - 1) < 0.3
+    assert a.lower < 4.5 < a.upper and out["b"].lower == out["b"].upper == 5.0
+    again = {r.g: r for r in kpi.bootstrap_interval(df.repartition(5), ["g"], "v", ["g", "k"]).collect()}
+    assert again == out
+
+
 def test_hot_blocks_give_the_same_windows(spark, monkeypatch):
     rows = [(m, dt.date(2024, 1, 1 + d) if d else None, i // 3, i, float((i * 7 + d) % 11))
             for m in ("A", "B", None) for d in range(3) for i in range(40)]
