@@ -98,6 +98,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op8_sql(min_words: int = quotes.MIN_WORDS) -> str:
+    """The passage rule in DuckDB SQL."""
+    return _OP8_SQL.replace("@MIN_WORDS", str(min_words))
+
+
 _OP8_SQL = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
 l AS (
@@ -105,21 +110,30 @@ l AS (
   FROM (SELECT rid, conv_id, turn, unnest(range(1, len(s) + 1)) AS p, unnest(s) AS line
         FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS s FROM m WHERE text IS NOT NULL))),
 b AS (
-  SELECT rid, conv_id, turn, p, len(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, len(marks) + 1) AS body,
-    nullif(trim(regexp_replace(translate(substr(line, len(marks) + 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' '), '') AS h FROM l),
-k AS (SELECT * FROM b WHERE h IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL),
-q AS (SELECT conv_id, turn, level, h, count(*) AS n FROM k WHERE level > 0 GROUP BY ALL),
-o AS (SELECT conv_id, h, min(turn) AS t FROM k WHERE level = 0 GROUP BY ALL),
+  SELECT rid, conv_id, turn, p, len(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, len(marks) + 1) AS body FROM l),
+c AS (SELECT *, trim(body, ' ' || chr(9)) = '' AS blank, lag(level) OVER o AS level0, lag(trim(body, ' ' || chr(9)) = '') OVER o AS blank0
+  FROM b WINDOW o AS (PARTITION BY rid ORDER BY p)),
+s AS (SELECT *, count(*) FILTER (level0 IS NULL OR level0 <> level OR blank OR blank0) OVER (PARTITION BY rid ORDER BY p) AS pid FROM c),
+pas AS (SELECT rid, conv_id, turn, pid, level, string_agg(body, chr(10) ORDER BY p) AS t FROM s
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+u AS (
+  SELECT rid, conv_id, turn, pid, level, t AS u FROM pas UNION ALL
+  SELECT rid, conv_id, turn, pid, level, unnest(regexp_split_to_array(t, '[.!?]+[ \t\n]+')) FROM pas UNION ALL
+  SELECT rid, conv_id, turn, pid, level, unnest(string_split(t, chr(10))) FROM pas),
+k AS (SELECT DISTINCT rid, conv_id, turn, pid, level, trim(regexp_replace(translate(
+    u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g'), ' ') AS h FROM u),
+q AS (SELECT conv_id, turn, level, h, len(string_split(h, ' ')) AS words, count(*) AS n FROM k WHERE level > 0 AND h <> '' GROUP BY ALL),
+o AS (SELECT conv_id, h, min(turn) AS t FROM k WHERE level = 0 AND h <> '' GROUP BY ALL),
 f AS (SELECT h, conv_id AS fc, t AS ft FROM o QUALIFY row_number() OVER (PARTITION BY h ORDER BY conv_id, t) = 1),
 to_ AS (
-  SELECT q.conv_id, q.turn, q.level, q.n, CASE WHEN o.t < q.turn THEN q.conv_id WHEN (fc, ft) < (q.conv_id, q.turn) THEN fc END AS tc,
-    CASE WHEN o.t < q.turn THEN o.t WHEN (fc, ft) < (q.conv_id, q.turn) THEN ft END AS tt
+  SELECT q.conv_id, q.turn, q.level, q.n, q.n * q.words AS weight,
+    CASE WHEN o.t < q.turn THEN q.conv_id WHEN words >= @MIN_WORDS AND (fc, ft) < (q.conv_id, q.turn) THEN fc END AS tc,
+    CASE WHEN o.t < q.turn THEN o.t WHEN words >= @MIN_WORDS AND (fc, ft) < (q.conv_id, q.turn) THEN ft END AS tt
   FROM q LEFT JOIN o ON o.conv_id = q.conv_id AND o.h = q.h LEFT JOIN f ON f.h = q.h),
-g AS (SELECT conv_id, turn, level, tc, tt, sum(n) AS n FROM to_ WHERE tc IS NOT NULL GROUP BY ALL),
+g AS (SELECT conv_id, turn, level, tc, tt, sum(n) AS n, sum(weight) AS weight FROM to_ WHERE tc IS NOT NULL GROUP BY ALL),
 r AS (
   SELECT conv_id, turn, tc, tt, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked FROM g
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, tc, tt) = 1),
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, tc, tt) = 1),
 w AS (
   SELECT conv_id, turn, tc AS uc, tt AS ut, tc || ':' || tt || '/' || conv_id || ':' || turn AS path, 1 AS d FROM r
   UNION ALL
@@ -139,7 +153,7 @@ LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
 """
 
 
-@query("op8_chat_quotes", _OP8_SQL)
+@query("op8_chat_quotes", op8_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
 

@@ -307,19 +307,52 @@ TURNS = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> How
 
 
 def test_quotes_match_sql(spark):
-    from millrace.llm.queries import ORACLES
+    from millrace.llm.queries import op8_sql
     schema = "conv_id long, turn long, role string, text string"
     df = spark.createDataFrame(TURNS, schema)
-    out = quotes.format_chats(df.withColumn("path", F.lit(1)).withColumn("h", F.lit(1)).withColumn("level", F.lit(1)))
+    out = quotes.format_chats(df.withColumn("path", F.lit(1)).withColumn("h", F.lit(1)).withColumn("level", F.lit(1)), min_words=1)
     con = duckdb.connect()
     pdf = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})
     con.register("conversations", pa.Table.from_pandas(pdf))
-    assert compare(out, con, ORACLES["op8_chat_quotes"])["ok"]
+    assert compare(out, con, op8_sql(1))["ok"]
     by = {(r.conv_id, r.turn): r for r in out.collect()}
     assert by[4, 2].path == "1:0/4:2" and by[3, 3].path == "1:0/1:1/1:2/3:3" and by[5, 1].text == "é Ñ"
     assert quotes.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
+WRAPPED = [
+    (1, 0, "user", "The press stops whenever the oil\ngets warm. We changed the pump\nlast week. Ok\n\nWhat else should we try next"),
+    (1, 1, "assistant", "> The press stops whenever\n> the oil gets warm. We changed\n> the pump last week. Ok\n\nClean the filter first, then\nwatch the pressure for a day."),
+    (1, 2, "user", "> > We changed the pump last\n> > week.\n> Clean the filter first, then watch\n> the pressure for a day.\nDone, and it helped."),
+    (2, 0, "user", "> Ok\n> ok\nI agree"),                                             # short: not from another conversation
+    (2, 1, "assistant", "> What else should we\n> try next\nRead the manual."),          # six words: linked across
+    (2, 2, "user", ">\tI agree\n> \n> Read the\n> manual.\nThanks"),                     # two passages of two messages: more words
+    (3, 0, "user", "> Clean the filter first, then\n\n> watch the pressure for a day.\nx\x01y\x02z"), (3, 1, "user", "> x y z\nno")]
+
+
+def test_wrapped_quotes_are_linked_by_passage(spark):
+    from millrace.llm.queries import ORACLES
+    df = spark.createDataFrame(WRAPPED, "conv_id long, turn long, role string, text string")
+    out = quotes.format_chats(df)
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pandas(df.toPandas()))
+    assert compare(out, con, ORACLES["op8_chat_quotes"])["ok"]
+    to = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in out.collect()}
+    assert to == {(1, 0): (None, None), (1, 1): (1, 0), (1, 2): (1, 1), (2, 0): (None, None), (2, 1): (1, 0),
+                  (2, 2): (2, 1), (3, 0): (1, 1), (3, 1): (3, 0)}
+
+
+def test_quotes_of_a_very_long_text(spark):
+    import time
+    text = "\n".join(f"line number {i} of the long message" for i in range(40000))
+    rows = [(1, 0, "u", text), (1, 1, "u", "\n".join("> " + x for x in text.split("\n")) + "\nyes")]
+    start = time.time()
+    out = quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    last = out.filter("turn = 1").first()
+    assert (last.reply_conv, last.reply_turn, last.n_quoted, last.text) == (1, 0, 40000, "yes")
+    assert time.time() - start < 90
+
+
 def test_long_reply_chain(spark):
     rows = [(9, i, "u", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)]
     out = quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
