@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import tenancy
+from ..operators import clean, tenancy
 from ..operators.common import trailing_window
-from ..session import ensure_checkpoint_dir
-from ..sources import commits, readers, registry, schemas
+from ..session import ensure_checkpoint_dir, write_table
+from ..sources import commits, layout, readers, registry, schemas, sinks
 from ..streaming import live
 from .catalog import query
 from .oracle_views import AS_OF
@@ -134,3 +134,100 @@ def j7_stored_grants(fx):
     registry.compact(fx.spark, "users", path)
     registry.register(grants.filter("seq % 2 = 1"), "users", path, fx.tenants)
     return registry.registered(fx.spark, "users", path).drop("created_at")
+
+
+def bucketed_pair(fx, buckets: int = 8):
+    """(legacy rows, tenant rows, name and path of the latter): both bucketed."""
+    p, name = fx.production, uuid.uuid4().hex
+    legacy = layout.write_bucketed(p.filter("l_linenumber <= 4").select(*STORED), f"legacy_{name}",
+                                   _folder(fx, "j3-legacy"), buckets)
+    path = _folder(fx, "j3-target")
+    target = layout.write_bucketed(p.filter("l_linenumber >= 4").select("tenant_id", *STORED), f"target_{name}", path, buckets)
+    return legacy, target, f"target_{name}", path
+
+
+@query("j3_bucketed_migration", """
+WITH target AS (SELECT tenant_id, production_date, machine_id, units_produced, defective_units, downtime_min, shift
+                FROM production WHERE l_linenumber >= 4),
+legacy AS (SELECT production_date, machine_id, units_produced, defective_units, downtime_min, shift
+           FROM production WHERE l_linenumber <= 4)
+SELECT * FROM target UNION ALL
+SELECT 'PLANT_03' AS tenant_id, l.* FROM legacy l WHERE NOT EXISTS (
+  SELECT 1 FROM target t WHERE t.tenant_id = 'PLANT_03' AND t.production_date = l.production_date
+  AND t.machine_id = l.machine_id)""", P)
+def j3_bucketed_migration(fx, buckets: int = 8):
+    """Legacy rows moved into the bucketed tenant table, twice; the second
+    run finds nothing to add."""
+    legacy, target, name, path = bucketed_pair(fx, buckets)
+    for _ in range(2):
+        new = tenancy.migrate_legacy(legacy, target, "PLANT_03").select("tenant_id", *STORED)
+        staged = write_table(new, "j3-new")       # a table is not read and appended to at once
+        target = layout.write_bucketed(staged, name, path, buckets, append=True)
+    return target
+
+
+@query("s4_csv_round_trip", """
+SELECT production_date, machine_id, units_produced, defective_units, downtime_min, shift FROM production""", P)
+def s4_csv_round_trip(fx):
+    """Production written as CSV with display headers and read back."""
+    path = _folder(fx, "s4-csv")
+    clean.to_display(fx.production.select(*STORED)).write.option("header", True).csv(path)
+    return readers.read_production_csv(fx.spark, path).select(*STORED)
+
+
+_BAD_DATE = "l_linenumber = 7"
+
+
+@query("s6_submitted_records", f"""
+SELECT CASE WHEN {_BAD_DATE} THEN NULL ELSE production_date END AS production_date, machine_id,
+       units_produced, defective_units, downtime_min, shift, NOT ({_BAD_DATE}) AS accepted
+FROM production""", P)
+def s6_submitted_records(fx):
+    """Records submitted as JSON lines; those with a date that is none are refused."""
+    path = _folder(fx, "s6-json")
+    sent = sinks.records_json(fx.production, ["l_linenumber"]).select(
+        F.when(F.expr(_BAD_DATE), F.regexp_replace("record", r"\d{4}-(\d\d)-(\d\d)", "31.$1.$2")).otherwise(
+            F.col("record")).alias("value"))
+    sent.write.text(path)
+    typed, refused = readers.read_submit_records(fx.spark, path)
+    cols = [*STORED, "accepted"]
+    return typed.withColumn("accepted", F.lit(True)).select(*cols).unionByName(
+        refused.withColumn("accepted", F.lit(False)).select(*cols))
+
+
+@query("k5_insight_text", """
+SELECT tenant_id, tenant_name, plant_location FROM tenants""", ("tenants",))
+def k5_insight_text(fx):
+    """K5: text blocks, one JSON line each, read back as they were."""
+    path = _folder(fx, "k5-text")
+    blocks = fx.tenants.select("tenant_id", "tenant_name", "plant_location")
+    sinks.write_insight_text(blocks, path)
+    return fx.spark.read.schema(blocks.schema).json(path)
+
+
+@query("s8_d1_stored_tables", """
+SELECT unnest(['live_production', 'machines_tenant', 'production_data_tenant', 'tenants', 'users_tenant', 'unknown']) AS name,
+       unnest([true, true, true, true, true, false]) AS found, unnest([0, 0, 0, n, 0, 0]) AS n_rows,
+       unnest([0, 0, 0, n, 0, 0]) AS n_default FROM (SELECT COUNT(*) AS n FROM tenants)""", ("tenants",))
+def s8_d1_stored_tables(fx):
+    """The five tables are created twice, the tenants stored without their
+    optional columns; these take their defaults."""
+    db, spark = f"d1_{uuid.uuid4().hex}", fx.spark
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{_folder(fx, 'd1')}'")
+    for _ in range(2):
+        readers.create_tables(spark, db)
+    fx.tenants.select("tenant_id", "tenant_name", "plant_location").createOrReplaceTempView("d1_tenants")
+    spark.sql(f"INSERT INTO {db}.tenants (tenant_id, tenant_name, plant_location) SELECT * FROM d1_tenants")
+    spark.catalog.dropTempView("d1_tenants")
+    default = F.expr("count_if(timezone = 'UTC' AND is_active AND config = '{}')").alias("n_default")
+    none = F.lit(0).cast("long").alias("n_default")
+    parts = []
+    for name in [*readers.DDL, "unknown"]:
+        found = readers.table_exists(spark, f"{db}.{name}")
+        rows = spark.table(f"{db}.{name}") if found else spark.table(f"{db}.tenants").limit(0)
+        parts.append(rows.agg(F.count(F.lit(1)).alias("n_rows"), default if name == "tenants" else none)
+                     .select(F.lit(name).alias("name"), F.lit(found).alias("found"), "n_rows", "n_default"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -21,10 +21,15 @@ def read_production(spark: SparkSession, path: str, tenant: bool = False) -> Dat
 
 
 def read_production_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S4 the production CSV (display headers) -> storage names, numeric measures."""
-    raw = (spark.read.schema(schemas.CSV_PRODUCTION).option("header", True)
+    """S4 the production CSV (display headers) -> storage names, numeric measures.
+
+    Columns are taken by their header, in any order; others are left out, a
+    missing one is an error, and so are files of one folder whose headers differ.
+    """
+    raw = (spark.read.option("header", True).option("enforceSchema", False)
            .option("mode", "PERMISSIVE").csv(path))
-    return clean.coerce_numeric(clean.to_storage(raw))
+    typed = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schemas.CSV_PRODUCTION.fields])
+    return clean.coerce_numeric(clean.to_storage(typed))
 
 
 def read_submit_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -132,3 +132,20 @@ def test_registry_and_migration(spark, tmp_dir):
         assert registry.migrate(spark, "legacy_rows", "P_A", target)
         assert spark.read.parquet(target).count() == 3
     assert registry.migrate(spark, "legacy_rows", "P_B", target) and spark.read.parquet(target).count() == 6
+
+
+def test_csv_columns_are_taken_by_header(spark, tmp_dir):
+    import pytest
+    from millrace.sources import readers
+    path = os.path.join(tmp_dir, "by_header.csv")
+    with open(path, "w") as f:
+        f.write("Units Produced,Note,Machine ID,Date,Shift,Downtime (minutes),Defective Units\n"
+                "10,x,M1,2024-01-02,Night,bad,1\n,y,M2,no date,Day,5,2\n")
+    a, b = readers.read_production_csv(spark, path).orderBy("machine_id").collect()
+    assert (str(a.production_date), a.shift, a.machine_id, a.units_produced, a.defective_units, a.downtime_min) == (
+        "2024-01-02", "Night", "M1", 10.0, 1.0, 0.0)
+    assert (b.production_date, b.units_produced, b.downtime_min) == (None, 0.0, 5.0)
+    with open(path, "w") as f:
+        f.write("Date,Shift\n2024-01-02,Night\n")
+    with pytest.raises(Exception, match="Machine ID"):
+        readers.read_production_csv(spark, path).collect()

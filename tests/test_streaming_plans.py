@@ -94,3 +94,24 @@ def test_windows_are_partitioned(fx):
     for line in p.splitlines():
         if "Window [" in line:
             assert "machine_id" in line, line
+
+
+def test_bucketed_rows_are_joined_and_windowed_as_they_lie(spark, fx):
+    from pyspark.sql import Window
+    from millrace.plans.queries_writes import bucketed_pair
+    legacy, target, _, _ = bucketed_pair(fx, 4)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = tenancy.migrate_legacy(legacy, target, "PLANT_03")
+        assert "SortMergeJoin" in _plan(moved) and "Exchange" not in _plan(moved)
+        plain = tenancy.migrate_legacy(legacy.repartition(3), target.repartition(3), "PLANT_03")
+        assert "Exchange hashpartitioning" in _plan(plain)
+        assert sorted(map(str, moved.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    w = Window.partitionBy("machine_id", "production_date").orderBy("units_produced")
+    assert "Exchange" not in _plan(target.withColumn("r", F.row_number().over(w)))
+    # a dimension by tenant is broadcast: the fact side keeps its place
+    joined = _plan(target.join(F.broadcast(fx.tenants.select("tenant_id", "tenant_name")), "tenant_id"))
+    assert "hashpartitioning(tenant_id" not in joined and "BroadcastHashJoin" in joined
