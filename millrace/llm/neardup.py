@@ -22,10 +22,13 @@
    a group are a class) by a seeded hash and compares them with all nodes. The
    recall is a mean over nodes, not pairs, taken for each class of true numbers
    of links, and the least of these counts. The draw grows until ``seen`` linked
-   nodes outside large groups were met, all nodes were drawn or it is 64 times
-   as large. While the recall is under ``recall`` or too few linked nodes were
-   met, further buckets and rounds follow (at most ``tries``); if the recall
-   stays under ``recall``, all pairs are compared.
+   nodes outside large groups were met, all nodes were drawn, it is 64 times
+   as large or its vectors reach ``DRAWN_BYTES``. While the recall is under
+   ``recall`` or too few linked nodes were met, further buckets and rounds follow
+   (at most ``tries``); if the recall stays under ``recall``, all pairs are
+   compared. If too few were met to the end, the links are so rare that the recall
+   is not measured: the column ``recall`` is null, not 1, and what holds is the
+   miss probability of the tables.
 
 Candidates are found in single precision; a link is decided in double
 precision on the given components, at cosine >= ``t``.
@@ -51,6 +54,8 @@ from .graph import connected_components
 from .jaccard import in_bins, in_tiles, roots, tiles_of
 
 BLOCK = 256
+#: bytes of stored vectors that pass through the driver at a time
+DRAWN_BYTES = 64 << 20
 NEIGHBOURS = "array<struct<s: float, v: long>>"
 
 
@@ -302,7 +307,13 @@ def _compared(nodes: DataFrame, drawn: pd.DataFrame, t: float, out: str, reduce)
     return nodes.mapInPandas(part, out)
 
 
-def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int, seen: int = 100) -> tuple[float, bool]:
+def rows_within(nodes: DataFrame, room: int) -> int:
+    """How many nodes' vectors fit ``room`` bytes (at least one)."""
+    return max(1, room // (nodes.agg(F.max(F.octet_length("vec"))).first()[0] or 1))
+
+
+def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int, seen: int = 100,
+            room: int = DRAWN_BYTES) -> tuple[float, bool]:
     """(least share of a node's links that lie within its group, over classes of
     nodes by their true number of links; whether enough nodes were seen)."""
     size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -311,6 +322,7 @@ def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int
     level = F.when(F.col("n").isNull(), 0).otherwise(F.floor(F.log2("n") / 2)).cast("int")
     nodes = materialize(nodes.select("node", "vec").join(member, "node", "left").withColumn("level", level), "audit")
     many = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}
+    most, got = rows_within(nodes, room), None
     place = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) / float(1 << 30)
 
     def count(drawn, runs):
@@ -322,7 +334,13 @@ def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int
         yield pd.DataFrame({"node": drawn["node"], "true": true, "found": found})[true > 0]
 
     for grown in (1, 4, 16, 64):
-        share = {c: min(1.0, grown * audit / n) for c, n in many.items()}
+        wider = {c: min(1.0, grown * audit / n) for c, n in many.items()}
+        asked = sum(x * many[c] for c, x in wider.items())
+        if asked > most:
+            if got is not None:
+                break
+            wider = {c: x * most / asked for c, x in wider.items()}
+        share = wider
         drawn = nodes.filter(F.coalesce(*[F.when(F.col("level") == c, place < x) for c, x in share.items()])
                              if share else F.lit(False)).toPandas()
         if drawn.empty:
@@ -348,9 +366,9 @@ def audited(nodes: DataFrame, groups: DataFrame, t: float, audit: int, seed: int
     return float(least), bool(small >= seen or whole)
 
 
-def all_edges(nodes: DataFrame, t: float, rows: int = 4_000) -> DataFrame:
+def all_edges(nodes: DataFrame, t: float, rows: int = 4_000, room: int = DRAWN_BYTES) -> DataFrame:
     """Edges that span the groups of all pairs at cosine >= t, every node compared
-    with every node, ``rows`` of them at a time."""
+    with every node, ``rows`` of them or ``room`` bytes at a time."""
     def forest(drawn, runs):
         a = drawn["node"].to_numpy()
         for i, j, b in runs:
@@ -359,6 +377,7 @@ def all_edges(nodes: DataFrame, t: float, rows: int = 4_000) -> DataFrame:
                 root = roots(len(used), back[:len(i)], back[len(i):])
                 yield pd.DataFrame({"a": used, "b": used[root]})[root != np.arange(len(used))]
 
+    rows = min(rows, rows_within(nodes, room))
     out, blocks = None, max(1, -(-nodes.count() // rows))
     for k in range(blocks):
         drawn = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select("node", "vec").toPandas()
@@ -370,7 +389,8 @@ def all_edges(nodes: DataFrame, t: float, rows: int = 4_000) -> DataFrame:
 
 def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds: int = 2, audit: int = 500,
          recall: float = 0.98, tries: int = 3, seed: int = 9, miss: float = 0.01) -> DataFrame:
-    """vec_id, n_links, component_id, kept, recall (the last audit's) per row."""
+    """vec_id, n_links, component_id, kept, recall per row; recall is the last
+    audit's, 1 if all pairs were compared, null if too few linked nodes were met."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_usable(F.col("embedding")), F.transform(
         "embedding", lambda x: x.cast("double") + F.lit(0.0))).alias("embedding"))
     rows = rows.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
@@ -385,6 +405,7 @@ def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds:
             break
     if reached < recall:
         groups, reached = materialize(connected_components(all_edges(nodes, t)), "groups"), 1.0
+        enough = True
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     member = materialize(groups.join(small_side(materialize(sizes, "sizes")), "component").select(
         F.col("id").alias("node"), F.col("component").alias("key"), "n"), "member")
@@ -401,4 +422,4 @@ def link(rows: DataFrame, t: float = 0.95, k: int = 10, tables: int = 4, rounds:
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-            .withColumn("recall", F.lit(float(reached))))
+            .withColumn("recall", F.lit(float(reached) if enough else None).cast("double")))

@@ -148,11 +148,27 @@ def test_audit_sees_small_groups_beside_a_large_one(spark):
     nodes = neardup.nodes_of(got)
     every = graph.connected_components(neardup.all_edges(nodes, 0.95, rows=100))
     assert every.count() == 420 and neardup.audited(nodes, every, 0.95, 500, 9) == (1.0, True)
+    # a draw bounded by bytes: too few to measure, and told so
+    few = neardup.audited(nodes, every, 0.95, 500, 9, room=8 * 16 * 30)
+    assert few[0] == 1.0 and few[1] is False
+    small = neardup.all_edges(nodes, 0.95, rows=400, room=8 * 16 * 50)
+    assert sorted(graph.connected_components(small).collect()) == sorted(every.collect())
     # half of the pairs are not found: 120 of some 90,000 pairs, but of 120 nodes outside the large group 60
     some = every.filter("id < 1000 OR id >= 1060")
     assert neardup.audited(nodes, some, 0.95, 500, 9)[0] < 0.6
 
 
+def test_unmeasured_recall_is_null(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32).tolist(), 0) for i in range(400)]
+    got = neardup.link(table(spark, rows, schema=VECS)).collect()
+    assert {r.recall for r in got} == {1.0}             # every node was drawn
+    real = neardup.audited
+    monkeypatch.setattr(neardup, "audited", lambda *a: real(*a, room=8 * 32 * 20))
+    got = neardup.link(table(spark, rows, schema=VECS)).collect()
+    assert {r.recall for r in got} == {None} and all(r.n_links == 0 and r.kept for r in got)
+
+
 def test_tables_hold_the_miss_probability():
     for total in (2_000, 100_000, 10_000_000):
         bits = neardup.bucket_bits(total)
