@@ -21,7 +21,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, small_side
@@ -42,21 +42,46 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SPAN = "array<struct<s: int, k: int, e: int>>"
 
 
-def _spans(text: Column, pattern: str, keep, kind: int) -> Column:
-    """Spans (s, k, e) of the matches m of ``pattern`` for which ``keep(m)``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s: int, m: string>>").alias("out"))
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(a: Column, x: Column) -> Column:
+
+def _places(text: Column, pattern: str, item) -> Column:
+    """Array of ``item(start, match, text since the match before)`` over all matches.
+
+    Starts are running sums, first within runs of about the root of the number
+    of matches, then over the runs, as appending copies an array."""
+    gap_and_match = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+
+    def add(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["g"])
-        return F.struct((s + F.length(x["m"])).alias("at"), F.when(
-            keep(x["m"]), F.array_append(a["out"], F.struct(s.alias("s"), x["m"].alias("m")))).otherwise(a["out"]).alias("out"))
+        return F.struct((s + F.length(x["m"])).alias("at"), F.array_append(a["out"], s).alias("out"))
+
+    def starts(pairs: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(pairs))).cast("int"))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        runs = F.transform(F.sequence(F.lit(1), F.size(pairs), size),
+                           lambda i: F.aggregate(F.slice(pairs, i, size), empty, add))
+
+        def shifted(r: Column) -> Column:
+            before = F.aggregate(r, empty, lambda a, x: F.struct(
+                (a["at"] + x["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+            return F.flatten(F.zip_with(r, before, lambda x, o: F.transform(x["out"], lambda s: s + o)))
+
+        return _let(runs, shifted)
+
+    # the last gap has no match
+    pairs = F.filter(gap_and_match, lambda x: x["m"].isNotNull())
+    return _let(pairs, lambda p: F.when(F.size(p) > 0, F.zip_with(starts(p), p, lambda s, x: item(s, x["m"], x["g"]))))
+
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    got = F.aggregate(pairs, first, step, lambda a: a["out"])
-    return F.transform(got, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"),
-                                               (x["s"] + F.length(x["m"])).alias("e")))
+def _spans(text: Column, pattern: str, keep, kind: int) -> Column:
+    """Spans (s, k, e, m) of the matches m of ``pattern`` for which ``keep(m)``."""
+    return F.filter(_places(text, pattern, lambda s, m, g: F.struct(
+        s.alias("s"), F.lit(kind).alias("k"), (s + F.length(m)).alias("e"), m.alias("m"))), lambda x: keep(x["m"]))
 
 
 def _digits(m: Column) -> Column:
@@ -80,9 +105,9 @@ def _luhn(m: Column) -> Column:
         F.sequence(F.lit(1), size), F.lit(0), add) % 10 == 0).otherwise(False)
 
 
-def base_spans(text: Column) -> Column:
-    """All spans of the fixed patterns, by start, then kind."""
-    none = F.array().cast(SPAN)
+def _seeds(text: Column) -> Column:
+    """All matches of the fixed patterns (s, k, e, m), by start, then kind."""
+    none = F.array().cast("array<struct<s: int, k: int, e: int, m: string>>")
     phone_size = lambda m: F.length(_digits(m)).between(9, 15)
     parts = [
         F.when(F.contains(text, F.lit("@")), _spans(text, EMAIL, lambda m: F.lit(True), 0)),
@@ -92,56 +117,68 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))
 
 
+def base_spans(text: Column) -> Column:
+    """All spans of the fixed patterns, by start, then kind."""
+    return F.transform(_seeds(text), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+
 def _candidates(text: Column) -> Column:
     """Candidates: span of the word without outer punctuation, the normalised
-    word and the one and two words before it."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    kind = "array<struct<s: int, e: int, i: string, before: string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["g"])
-        head = F.length(F.regexp_extract(x["m"], r"^[^0-9A-Za-z@+]*+", 0))
-        core = F.regexp_replace(x["m"], r"^[^0-9A-Za-z@+]++|(?<![^\p{P}\p{S}])[\p{P}\p{S}]++$|[.,;:!?\"')\]}]++$", "")
-        item = F.struct((s + head).alias("s"), (s + head + F.length(core)).alias("e"), ascii_lower(core).alias("i"),
-                        F.substring(x["g"], -80, 80).alias("before"))
-        return F.struct((s + F.length(x["m"])).alias("at"), F.array_append(a["out"], item).alias("out"))
+    word and the one or two words before it."""
+    def item(s: Column, m: Column, g: Column) -> Column:
+        head = F.length(F.regexp_extract(m, r"^[^0-9A-Za-z@+]*+", 0))
+        core = F.regexp_replace(m, r"^[^0-9A-Za-z@+]++|(?<![^\p{P}\p{S}])[\p{P}\p{S}]++$|[.,;:!?\"')\]}]++$", "")
+        # what follows the eighth blank from the end has whole words only
+        few = _last_two(F.substring_index(g, " ", -8))
+        return F.struct((s + head).alias("s"), (s + head + F.length(core)).alias("e"), ascii_lower(core).alias("i"),
+                        F.when(F.size(few) == 2, few).otherwise(_last_two(g)).alias("w"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(text.rlike("[0-9@]"), F.aggregate(pairs, first, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    return F.coalesce(F.when(text.rlike("[0-9@]"), _places(text, CANDIDATE, item)),
+                      F.array().cast("array<struct<s: int, e: int, i: string, w: array<string>>>"))
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, text_key, base, texts (of base), cands of every row, as a
-    written table."""
+    """_row, doc_id, text_key, base (with the matched texts), cands of every row,
+    as a written table."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = base_spans(text)
-    seen = F.transform(base, lambda x: ascii_lower(F.substring(text, x["s"] + 1, x["e"] - x["s"])))
     return materialize(docs.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_key"),
-        base.alias("base"), seen.alias("texts"), _candidates(text).alias("cands")), "pii-scan")
+        _seeds(text).alias("base"), _candidates(text).alias("cands")), "pii-scan")
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
     """One row per candidate: its place, instance i, its patterns; if it holds
-    the start of a base span, the instance is that span's text and has its kind; candidates within a base span are left out."""
-    one = rows.select("_row", "base", "texts", F.explode("cands").alias("c")).select(
-        "_row", "base", "texts", "c.s", "c.e", "c.i", "c.before").filter("e > s")
-    seed = F.get(F.filter(F.zip_with("base", "texts", lambda b, t: F.struct(b.alias("b"), t.alias("t"))), lambda x: (
-        x["b"]["s"] >= F.col("s")) & (x["b"]["s"] < F.col("e"))), F.lit(0))
-    inside = F.exists("base", lambda x: (x["s"] < F.col("s")) & (x["e"] > F.col("s")))
-    return (one.filter(~inside).withColumn("seed", seed).withColumn("kind", F.col("seed.b.k"))
-            .withColumn("i", F.coalesce("seed.t", "i")).withColumn("w", _last_two(F.col("before")))
-            .withColumn("patterns", F.array_compact(F.array(
-                F.when(F.size("w") >= 1, F.concat(F.element_at("w", -1), F.lit(" _"))),
-                F.when(F.size("w") >= 2, F.concat(F.array_join("w", " "), F.lit(" _"))))))
-            .select("_row", "s", "e", "i", "kind", "patterns"))
+    the start of a base span, the instance is that span's text and has its kind;
+    candidates within a base span are left out. Candidates and spans of a text
+    meet by position, in two running aggregates."""
+    def of(some: DataFrame) -> DataFrame:
+        return some.select("_row", F.explode("cands").alias("c")).select(
+            "_row", F.col("c.s").alias("at"), "c.e", "c.i", F.array_compact(F.array(
+                F.when(F.size("c.w") >= 1, F.concat(F.element_at("c.w", -1), F.lit(" _"))),
+                F.when(F.size("c.w") >= 2, F.concat(F.array_join("c.w", " "), F.lit(" _"))))).alias("patterns"),
+            F.lit(None).cast("struct<s: int, k: int, m: string, e: int>").alias("b")).filter("e > at")
+
+    spans = rows.select("_row", F.explode("base").alias("x")).select(
+        "_row", F.col("x.s").alias("at"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("string").alias("i"),
+        F.lit(None).cast("array<string>").alias("patterns"), F.struct("x.s", "x.k", "x.m", "x.e").alias("b"))
+    text = Window.partitionBy("_row")
+    before = text.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    onward = text.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = (of(rows.filter(F.size("base") > 0)).unionByName(spans)
+           .withColumn("reach", F.max("b.e").over(before)).withColumn("next", F.min("b").over(onward))
+           .filter((F.col("e").isNotNull()) & (F.coalesce("reach", F.lit(0)) <= F.col("at")))
+           .withColumn("seed", F.when(F.col("next.s") < F.col("e"), F.col("next"))))
+    met = met.select("_row", F.col("at").alias("s"), "e", F.coalesce(ascii_lower(F.col("seed.m")), "i").alias("i"),
+                     F.col("seed.k").alias("kind"), "patterns")
+    alone = of(rows.filter(F.size("base") == 0)).select(
+        "_row", F.col("at").alias("s"), "e", "i", F.lit(None).cast("int").alias("kind"), "patterns")
+    return met.unionByName(alone)
 
 
 def _last_two(before: Column) -> Column:
+    """The last two words of a text, in order, or fewer if it has fewer."""
     words = F.filter(F.split(ascii_lower(before), r"[\s\p{P}\p{S}]+"), lambda w: w != "")
-    return F.reverse(F.slice(F.reverse(words), 1, 2))
+    return _let(words, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), F.lit(2)))
 
 
 def bootstrap(rows: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float = 0.8) -> DataFrame:
@@ -179,7 +216,8 @@ def extract(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, sure: float
     """doc_id, text_key, base and found (arrays of spans s, k, e) of every row."""
     rows = scan_texts(docs)
     found = small_side(materialize(bootstrap(rows, rounds, least_seeds, sure), "pii-found"))
-    return rows.select("_row", "doc_id", "text_key", "base").join(found, "_row", "left").select(
+    base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))).alias("base")
+    return rows.select("_row", "doc_id", "text_key", base).join(found, "_row", "left").select(
         "doc_id", "text_key", "base", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
 
@@ -189,7 +227,7 @@ def digest(extracted: DataFrame) -> DataFrame:
     return extracted.select(
         "doc_id", *[many(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
-        _text_of(F.array_sort(F.array_union("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
+        _text_of(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -213,6 +251,6 @@ def mask(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("found").alias("_found"))
     found = small_side(materialize(got, "pii-masks"))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_k"]), "left")
-    spans = F.array_sort(F.array_union(base_spans(docs["text"]), F.coalesce(found["_found"], F.array().cast(SPAN))))
+    spans = F.array_sort(F.concat(base_spans(docs["text"]), F.coalesce(found["_found"], F.array().cast(SPAN))))
     new = F.when(docs["text"].isNotNull(), masked(docs["text"], spans))
     return joined.select(*[new.alias(c) if c == "text" else docs[c] for c in docs.columns])

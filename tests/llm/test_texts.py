@@ -358,3 +358,34 @@ def test_long_reply_chain(spark):
     out = quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     last = out.filter("turn = 39").first()
     assert last.path == "/".join(f"9:{i}" for i in range(40)) and last.thread_turn == 0
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+    text = " ".join(f"{i % 200}.{i % 7}.{i % 251}.{i % 31}" for i in range(40_000))
+    long_word = "x" * 300
+    rows = [(1, text, None, None, None), (2, f"a {long_word} {'é' * 100} 77 b c 5", None, None, None)]
+    began = time.monotonic()
+    scanned = {r.doc_id: r for r in pii.scan_texts(table(spark, rows)).collect()}
+    assert time.monotonic() - began < 20
+    base = scanned[1].base
+    assert len(base) == len(scanned[1].cands) == 40_000
+    assert all(text[x.s:x.e] == x.m for x in base) and [x.s for x in base] == [c.s for c in scanned[1].cands]
+    assert [c.w for c in scanned[2].cands] == [[long_word, "é" * 100], ["b", "c"]]
+    met = pii._occurrences(pii.scan_texts(table(spark, rows))).collect()
+    assert sum(r.kind == 1 for r in met) == 40_000 and sorted(r.i for r in met if r.kind is None) == ["5", "77"]
+
+
+def test_candidates_meet_spans_by_position(spark):
+    rng = np.random.default_rng(5)
+    parts = ["a@b.co", "x1", "10.0.0.1", "<10.0.0.1,10.0.0.2>", "+1 (456) 555-1234", "4111 1111 1111 1111", "word", "9", "id:7@z"]
+    texts = [" ".join(rng.choice(parts, 30)) for _ in range(20)]
+    rows = pii.scan_texts(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]))
+    want = []
+    for r in rows.collect():
+        for c in r.cands:
+            if c.e > c.s and not any(x.s < c.s < x.e for x in r.base):
+                seed = next((x for x in r.base if c.s <= x.s < c.e), None)
+                want.append((r._row, c.s, c.e, seed.m.lower() if seed else c.i, seed.k if seed else None))
+    got = [(r._row, r.s, r.e, r.i, r.kind) for r in pii._occurrences(rows).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(k is not None for *_, k in got)
