@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,22 @@ def id_bucket(col: str, n: int) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sum_arrays(rows: DataFrame, size: int, fan: int = 32) -> np.ndarray:
+    """Sum of float64 arrays (column v, binary), one for each partition number g.
+
+    At most ``fan`` arrays come together at once: neighbours are summed level by
+    level until that many are left for the driver. Sums are taken in order of g,
+    so reruns agree."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size)
+        for v in pdf.sort_values("g")["v"]:
+            total += np.frombuffer(v)
+        return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // fan], "v": [total.tobytes()]})
+
+    left = rows.rdd.getNumPartitions()
+    while left > fan:
+        rows = rows.groupBy(F.floor(F.col("g") / fan).alias("up")).applyInPandas(merge, "g int, v binary")
+        left = -(-left // fan)
+    return sum((np.frombuffer(r["v"]) for r in sorted(rows.select("g", "v").collect())), np.zeros(size))

@@ -14,7 +14,9 @@ Passes over the documents:
    symbols. It is trained in numpy by data-parallel averaging: every training
    text is read whole in one of the rounds, each task improves the current
    weights on all windows of its texts, a run of windows at a time, and the
-   weights are averaged, weighted by the number of targets.
+   weights are averaged, weighted by the number of targets. A round has about
+   seven times the texts of all rounds before it: the early ones bring all tasks
+   to a common place, from where weights can be averaged.
 3. Every whole text is cut into windows of 2 * ``stride`` symbols that overlap
    by half: the first half is context only, the second half is scored, so each
    token is scored once. Windows go through masked attention in batches.
@@ -43,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialize
+from .common import id_bucket, materialize, sum_arrays
 from .textscan import NON_SPACE, Scan, scan
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,26 +53,38 @@ END = 50256
 LONGEST = 64
 #: larger runs repeat fewer words
 RUN_BYTES = 2_000_000
-_GROUPS = 32
+#: windows of a training step
+BATCH = 128
 _encoders: dict[str, tuple] = {}
 
 
-def encoder(path: str) -> tuple:
+class Vocabulary:
+    """A public rank file and its pattern, read on the driver and sent with the tasks."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, "rb") as f:
+            self.data = f.read()
+        spec = importlib.util.spec_from_file_location("vocabulary", os.path.join(os.path.dirname(path), "__init__.py"))
+        names = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(names)
+        self.pattern = names.PATTERN
+
+
+def encoder(source: str | Vocabulary) -> tuple:
     """(encoding, which ids begin with a blank) of a public rank file."""
+    path = source if isinstance(source, str) else source.path
     if path not in _encoders:
         import tiktoken
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = Vocabulary(path) if isinstance(source, str) else source
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, own.data.splitlines())}
         opens = np.zeros(END + 1, dtype=bool)
         opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        spec = importlib.util.spec_from_file_location("vocabulary", os.path.join(os.path.dirname(path), "__init__.py"))
-        names = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(names)
-        _encoders[path] = (tiktoken.Encoding("own", pat_str=names.PATTERN, mergeable_ranks=ranks, special_tokens={}), opens)
+        _encoders[path] = (tiktoken.Encoding("own", pat_str=own.pattern, mergeable_ranks=ranks, special_tokens={}), opens)
     return _encoders[path]
 
 
-def encode_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(words: list[bytes], path: str | Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): subword ids of ``' ' + word``; those of word i are
     first[i]:first[i + 1]. A word holds no blank, so an id that begins with a
     blank begins a word."""
@@ -107,25 +121,16 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
-def _sum_arrays(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of float64 arrays (column v, binary), in groups by column g first."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"v": [sum((np.frombuffer(v) for v in pdf["v"]), np.zeros(size)).tobytes()]})
-
-    got = rows.groupBy("g").applyInPandas(merge, "v binary").collect()
-    return sum((np.frombuffer(v) for v in sorted(bytes(r["v"]) for r in got)), np.zeros(size))
-
-
-def subword_counts(counts: DataFrame, path: str) -> np.ndarray:
+def subword_counts(counts: DataFrame, path: str | Vocabulary) -> np.ndarray:
     """Corpus frequency of every subword id, from the count table."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(END + 1)
         for b in batches:
             ids, first = encode_words([bytes(w) for w in b["word"]], path)
             total += np.bincount(ids, np.repeat(b["c"].to_numpy(float), np.diff(first)), minlength=END + 1)
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() % _GROUPS], "v": [total.tobytes()]})
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "v": [total.tobytes()]})
 
-    return _sum_arrays(counts.mapInPandas(part, "g int, v binary"), END + 1)
+    return sum_arrays(counts.mapInPandas(part, "g int, v binary"), END + 1)
 
 
 def frequent_counts(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -308,7 +313,7 @@ class Model:
         table += np.bincount(cell, values.ravel(), minlength=table.size).reshape(table.shape)
 
     def improve(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, used: np.ndarray, rate: float,
-                least_steps: int, seed: int, batch: int = 64) -> np.ndarray:
+                least_steps: int, seed: int, batch: int = BATCH) -> np.ndarray:
         """Adam over all windows, at least once and until ``least_steps`` steps."""
         flat, m, v = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
         rng, each = np.random.default_rng(seed), -(-len(x) // batch)
@@ -327,7 +332,7 @@ class Model:
         return flat
 
 
-def _sequences(s: Scan, words: list[bytes], back: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+def _sequences(s: Scan, words: list[bytes], back: np.ndarray, path: str | Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(subword ids with an END after every text, first) of a scan whose
     distinct words are known."""
     ids, first = encode_words(words, path)
@@ -349,7 +354,7 @@ def improve_on_runs(model: Model, flat: np.ndarray, windows: Iterator[tuple], ev
         nonlocal flat, held, size, steps, targets, runs
         x, y, used = (np.concatenate(p) for p in zip(*held))
         flat = model.improve(flat, x, y, used, rate / (runs + 1) ** 0.5, max(0, least_steps - steps), seed + runs)
-        steps, targets, runs = steps + -(-size // 64), targets + int(used.sum()), runs + 1
+        steps, targets, runs = steps + -(-size // BATCH), targets + int(used.sum()), runs + 1
         held, size = [], 0
 
     for x, y, used in windows:
@@ -363,11 +368,12 @@ def improve_on_runs(model: Model, flat: np.ndarray, windows: Iterator[tuple], ev
     return flat, targets
 
 
-def train(docs: DataFrame, model: Model, path: str, rounds: int, every: int, rate: float,
+def train(docs: DataFrame, model: Model, path: str | Vocabulary, rounds: int, every: int, rate: float,
           least_steps: int, seed: int) -> np.ndarray:
     """Average of the weights that the tasks reach, ``rounds`` times. Every training
     text is in one round."""
     texts = docs.filter("NOT held_out AND text IS NOT NULL")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(8 ** 12))
     flat = model.flat
     for r in range(rounds):
         now = flat
@@ -382,11 +388,13 @@ def train(docs: DataFrame, model: Model, path: str, rounds: int, every: int, rat
 
             got, n = improve_on_runs(model, now, windows(), every, rate / (r + 1), least_steps, seed + r)
             if n:
-                yield pd.DataFrame({"g": [TaskContext.get().partitionId() % _GROUPS],
+                yield pd.DataFrame({"g": [TaskContext.get().partitionId()],
                                     "v": [np.concatenate((got.astype(np.float64) * n, [float(n)])).tobytes()]})
 
-        own = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(rounds)) == r).select("text")
-        total = _sum_arrays(own.mapInPandas(part, "g int, v binary"), len(flat) + 1)
+        # of the texts, a round leaves one in eight to those before it
+        left = draw % 8 ** (rounds - 1 - r) == 0
+        own = texts.filter(left & (draw % 8 ** (rounds - r) != 0) if r else left).select("text")
+        total = sum_arrays(own.mapInPandas(part, "g int, v binary"), len(flat) + 1)
         if total[-1] > 0:
             flat = (total[:-1] / total[-1]).astype(np.float32)
     return flat
@@ -398,9 +406,9 @@ SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long, l
           "score double, rare array<binary>")
 
 
-def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int = 128, dim: int = 16, stride: int = 12,
-          frequent: int = 500_000, rounds: int = 2, every: int = 8192,
-          rate: float = 0.02, least_steps: int = 200, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 1024, head: int = 128, dim: int = 16, stride: int = 12,
+          frequent: int = 500_000, rounds: int = 2, every: int = 100_000,
+          rate: float = 0.02, least_steps: int = 500, seed: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     All training texts train the model, about ``every`` windows shuffled at a time.
@@ -408,6 +416,7 @@ def score(docs: DataFrame, path: str = VOCABULARY, classes: int = 320, head: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        (id_bucket("doc_id", 10) == 0).alias("held_out"))
+    path = Vocabulary(path)
     counts = count_words(docs)
     texts = docs.filter("NOT held_out").count()
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

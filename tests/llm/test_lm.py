@@ -120,3 +120,40 @@ def test_every_window_of_every_text_trains(spark, monkeypatch, tmp_path):
     enc, _ = lm.encoder(lm.VOCABULARY)
     want = sum(len(enc.encode_ordinary(" " + t)) + 1 for d, t, *_ in rows if t is not None and d % 10)
     assert sum(int(np.load(f)[0]) for f in tmp_path.glob("*.npy")) == want
+
+
+def test_held_out_text_scores_above_its_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.score(docs).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).collect()
+    sums = {r["held_out"]: (r["sum(score)"], r["sum(base_score)"]) for r in got}
+    assert sums[True][0] > sums[True][1], sums
+
+
+def test_each_text_is_in_one_round(spark):
+    # with rounds=3 the last round has seven of eight texts
+    rows = [(i, "a b c", "en", "a", 1) for i in range(800)]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "false AS held_out")
+    seen = []
+
+    kept = lm.sum_arrays
+    lm.sum_arrays = lambda rows, size: (lambda t: (seen.append(t[-1]), t)[1])(kept(rows, size))
+    try:
+        lm.train(docs, lm.Model(np.ones(lm.END + 1), 12, 4, 3, 1, 7), lm.VOCABULARY, 3, 16, 0.02, 1, 3)
+    finally:
+        lm.sum_arrays = kept
+    each = seen[0] + seen[1] + seen[2]
+    assert each == 800 * 4 and seen[2] > 5 * (seen[0] + seen[1]) and seen[1] > seen[0]
+
+
+def test_arrays_add_up_over_many_partitions(spark):
+    from pyspark import TaskContext
+    import pandas as pd
+    from millrace.llm.common import sum_arrays
+
+    def part(batches):
+        total = sum((np.array([b["id"].sum(), len(b)], float) for b in batches), np.zeros(2))
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "v": [total.tobytes()]})
+
+    rows = spark.range(0, 1000, 1, 70).mapInPandas(part, "g int, v binary")
+    assert sum_arrays(rows, 2, fan=4).tolist() == [499500.0, 1000.0]
+    assert sum_arrays(rows.limit(0), 2).tolist() == [0.0, 0.0]
