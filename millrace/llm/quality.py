@@ -11,8 +11,8 @@ gets the combined probability.
 
 Features are made in one scan of the texts and written as a narrow table; a
 Newton step is one pass over that table that sums gradients and Hessians in
-tasks, then in at most ``_GROUPS`` groups, so the driver only ever adds a fixed
-number of small matrices. All labelled and all unlabelled rows take part.
+tasks, then level by level over neighbouring tasks, so the driver only ever adds
+a fixed number of small matrices. All labelled and all unlabelled rows take part.
 
 Defined cases: a null text counts as empty, null metadata as a value of its
 own; a document's label is the majority of its non-null labels, ties count as
@@ -25,6 +25,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import materialize, small_side, sum_arrays
 from .textscan import NON_SPACE, mix, scan
 
 HASHED = 64
-_GROUPS = 32
 
-#: Character kinds whose share of a text is a feature.
+#: character kinds whose share of a text is a feature.
 KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?",
          b"*#%&$@^~", b"|<>{}[]\\/=+_", b"\n", b"'\"()-"]
 
@@ -129,7 +129,7 @@ def features(docs: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _cells(values: pd.Series, group: int) -> np.ndarray:
     names, back = np.unique(values.fillna("\0").astype(str).to_numpy(), return_inverse=True)
-    slot = [int.from_bytes(n.encode("utf-8", "surrogatepass")[-8:], "little") + 31 * len(n) for n in names]
+    slot = [int.from_bytes(blake2b(n.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for n in names]
     return mix(np.array([(v + group) & (2 ** 64 - 1) for v in slot], dtype=np.uint64))[back] % np.uint64(META_HASHED)
 
 
@@ -158,14 +158,9 @@ def _sums(rows: DataFrame, size: int, add) -> np.ndarray:
         for b in batches:
             if len(b):
                 total += add(b)
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() % _GROUPS], "v": [total.tobytes()]})
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "v": [total.tobytes()]})
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(v) for v in pdf["v"]), np.zeros(size))
-        return pd.DataFrame({"v": [total.tobytes()]})
-
-    got = rows.mapInPandas(part, "g int, v binary").groupBy("g").applyInPandas(merge, "v binary").collect()
-    return sum((np.frombuffer(r["v"]) for r in sorted(got, key=lambda r: bytes(r["v"]))), np.zeros(size))
+    return sum_arrays(rows.mapInPandas(part, "g int, v binary"), size)
 
 
 def _moments(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:

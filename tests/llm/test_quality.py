@@ -60,3 +60,11 @@ def test_text_features_of_parts_equal_the_whole():
 def test_sf_small_runs(spark):
     read = lambda t: spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
     assert quality.score(read("documents"), read("labels"), read("pages")).count() == read("documents").count()
+
+
+def test_long_names_that_end_alike_get_cells_of_their_own():
+    import pandas as pd
+    from millrace.llm import quality
+    names = pd.Series([f"archive-{i:02d}/common-section-name" for i in range(60)] + [None])
+    # nearly all cells are in use; by their ends alone the names would share one
+    assert len(set(quality._cells(names, 0).tolist())) > quality.META_HASHED // 2
