@@ -240,10 +240,14 @@ def upsert_tenants(current: DataFrame, incoming: DataFrame, now: Column,
 
 
 def upsert_machines(current: DataFrame, incoming: DataFrame, now: Column,
-                    seq: str | None = None) -> DataFrame:
-    """J6 register_machine: set name, type, capacity (null included)."""
+                    seq: str | None = None, each: bool = False) -> DataFrame:
+    """J6 register_machine: set name, type, capacity (null included).
+
+    With ``each`` a key may repeat on both sides and every incoming row is
+    applied to every stored row of its key: one row per pair, none is lost.
+    """
     set_cols = ["machine_name", "machine_type", "capacity_units_per_hour"]
-    inc = latest_per_key(incoming, ["tenant_id", "machine_id"], seq, set_cols)
+    inc = incoming if each else latest_per_key(incoming, ["tenant_id", "machine_id"], seq, set_cols)
     return upsert(current, inc, ["tenant_id", "machine_id"], set_cols,
                   insert_defaults={"is_active": F.lit(True), "created_at": now})
 

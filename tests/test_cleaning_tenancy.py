@@ -149,3 +149,15 @@ def test_csv_columns_are_taken_by_header(spark, tmp_dir):
         f.write("Date,Shift\n2024-01-02,Night\n")
     with pytest.raises(Exception, match="Machine ID"):
         readers.read_production_csv(spark, path).collect()
+
+
+def test_machines_that_share_an_id_are_all_upserted(spark, tmp_dir):
+    import __spark_entry__ as entry
+    from oracle_check import compare, duck
+    rows = [(k, f"s{k}", 3, float(k % 7) - 2) for k in (1234, 12340, 12341, 12342, 12345, 7, 99990)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double") \
+         .write.parquet(os.path.join(tmp_dir, "supplier.parquet"))
+    con = duck(os.path.join(tmp_dir, "none"))
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_dir}/supplier.parquet/*.parquet')")
+    res = compare(entry.queries()["j6_upsert_machines"](spark, tmp_dir), con, entry.oracle_sql()["j6_upsert_machines"])
+    assert res["ok"] and res["rows_spark"] > len(rows), res
