@@ -234,3 +234,25 @@ def test_upsert_without_sequence_refuses_repeated_keys(spark):
     assert tenancy.latest_per_key(once, ["k"], None, ["v"]).count() == 2
     with pytest.raises(Exception, match="seq"):
         tenancy.latest_per_key(once.union(once), ["k"], None, ["v"]).collect()
+
+
+def test_series_that_fit_a_task_move_once(spark, monkeypatch):
+    rows = [(m, dt.date(2024, 1, 1 + i % 3) if i % 5 else None, i, float(i * 7 % 11) if i % 4 else None)
+            for m, n in (("A", 40), ("B", 9), (None, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "m string, production_date date, k int, v double")
+    order = ["production_date", "k"]
+
+    def results():
+        means = windows.trailing_means(df, ["m"], order, {"ma": "v"}, 3)
+        split = windows.chrono_split(means, ["m"], order)
+        return split, sorted(map(str, split.collect() + windows.lag_features(df, ["m"], order, "v", 2).collect()))
+
+    split, plain = results()
+    plan = split._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Sort ") <= 1
+    assert results()[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    monkeypatch.setattr(windows, "HOT_BLOCK_ROWS", 10)       # A and the null machine in blocks, B whole
+    assert results()[1] == plain
+    w = Window.partitionBy("m").orderBy(*order).rowsBetween(-2, 0)
+    want = df.withColumn("ma", F.avg("v").over(w)).select(*df.columns, "ma")
+    assert split.select(*df.columns, "ma").exceptAll(want).count() == 0
