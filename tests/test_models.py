@@ -256,3 +256,35 @@ def test_series_that_fit_a_task_move_once(spark, monkeypatch):
     w = Window.partitionBy("m").orderBy(*order).rowsBetween(-2, 0)
     want = df.withColumn("ma", F.avg("v").over(w)).select(*df.columns, "ma")
     assert split.select(*df.columns, "ma").exceptAll(want).count() == 0
+
+
+def test_path_sums_are_those_of_a_walk_down_each_tree(monkeypatch):
+    from types import SimpleNamespace
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    x[::50, 1] = np.nan
+    trees = anomaly.grow_forest(x[1:], np.stack([rng.choice(650, 64, replace=False) for _ in range(10)]), rng, 6)
+    run = SimpleNamespace(**anomaly._pack(trees, 64))
+    want = np.zeros(len(x))
+    for i, row in enumerate(x):
+        lengths = []
+        for _, nodes in trees.groupby("tree"):
+            node, depth = nodes.set_index("node"), 0
+            at = node.loc[0]
+            while at.feature >= 0:
+                at, depth = node.loc[at.left if row[int(at.feature)] < at.threshold else at.right], depth + 1
+            lengths.append(depth + anomaly.c_factor(at["size"]))
+        want[i] = np.array(lengths).sum()
+    monkeypatch.setattr(anomaly, "SCORE_ROWS", 256)
+    got, many = anomaly._path_sums(x, run)
+    assert many == 10 and np.array_equal(got, want)
+
+
+def test_scores_carry_only_what_is_asked_for(spark):
+    rows = [(i, f"t{i % 2}", float(i % 13), float(i * i % 17)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, a double, b double")
+    full = anomaly.detect_anomalies(df, ["a", "b"], ["id"], ["t"], trees=10, psi=8)
+    some = anomaly.detect_anomalies(df, ["a", "b"], ["id"], ["t"], trees=10, psi=8, keep=["id"], stored=True)
+    assert set(full.columns) == {"id", "t", "a", "b", "iforest_score", "is_anomaly"}
+    assert set(some.columns) == {"id", "iforest_score", "is_anomaly"}
+    assert sorted(some.collect()) == sorted(full.select(*some.columns).collect())
