@@ -7,9 +7,13 @@ tenant never moves more than one partial row per input partition.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import (AsOf, as_of_col, safe_div, trailing_window, truncate_int,
                      zero_if_null)
@@ -155,6 +159,7 @@ def machine_downtime_chart(df: DataFrame) -> DataFrame:
 BOOT_REPLICATES = 128
 BOOT_LEVEL = 0.95
 PRIME, STEP = 2**31 - 1, 48271   # a row's draws: seed * STEP^k modulo PRIME
+BOOT_ROWS = 512                  # rows drawn for at a time
 
 
 def draw_steps(replicates: int = BOOT_REPLICATES) -> list[int]:
@@ -173,26 +178,64 @@ def poisson_cuts() -> list[int]:
     return cuts
 
 
+def _replicate_sums(group_cols: list[str], replicates: int):
+    """Partial sums of the replicates for each group of a batch (numpy)."""
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps, prime = np.array(draw_steps(replicates), dtype=np.uint64), np.uint64(PRIME)
+        cuts = np.array(poisson_cuts(), dtype=np.int32)
+        for rows in batches:
+            if rows.empty:
+                continue
+            groups = rows.groupby(group_cols, dropna=False, sort=False)
+            code = groups.ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            code, v = code[order], rows["_v"].to_numpy(dtype="float64")[order]
+            seed = rows["_seed"].to_numpy(dtype=np.uint64)[order]
+            total = np.zeros((code[-1] + 1, replicates))
+            weights = np.zeros(total.shape, dtype=np.int64)
+            for lo in range(0, len(v), BOOT_ROWS):
+                part = slice(lo, lo + BOOT_ROWS)
+                u = seed[part, None] * steps                     # below 2^62
+                u = (u & prime) + (u >> np.uint64(31))           # the same modulo 2^31 - 1
+                u = np.where(u >= prime, u - prime, u).astype(np.int32)
+                w = np.zeros(u.shape, dtype=np.uint8)
+                for cut in cuts:
+                    w += u >= cut
+                c = code[part]
+                start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                total[c[start]] += np.add.reduceat(v[part, None] * w, start, axis=0)
+                weights[c[start]] += np.add.reduceat(w, start, axis=0, dtype=np.int64)
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            out = rows[group_cols].iloc[order[first]].reset_index(drop=True)
+            out["_total"], out["_weights"] = list(total), list(weights)
+            out["_sum"], out["_rows"] = np.add.reduceat(v, first), np.diff(np.r_[first, len(v)])
+            yield out
+    return sums
+
+
 def bootstrap_interval(df: DataFrame, group_cols: list[str], value: str, key_cols: list[str],
                        replicates: int = BOOT_REPLICATES, level: float = BOOT_LEVEL) -> DataFrame:
     """A8 (groups, mean, n, lower, upper): bootstrap interval of each bar's mean.
 
-    One pass: a row's weight in each replicate comes from a multiplicative sequence
-    seeded by the SHA-256 of its key, so reruns and other engines agree, and
-    replicates are sums that combine map-side whatever a group's size. Null values are left
+    A row's weight in each replicate comes from a multiplicative sequence
+    seeded by the SHA-256 of its key, so reruns and other engines agree. Rows are
+    dealt by ranges of group and key, so that a group lies together and a large one
+    is several tasks; each batch gives one row of partial sums a group. Null values are left
     out; a group without values has no row; replicates of total weight zero don't count.
     """
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
     seed = F.conv(F.substr(F.sha2(key, 256), F.lit(1), F.lit(8)), 16, 10).cast("long") % F.lit(PRIME - 1) + 1
-    steps = F.array(*[F.lit(k).cast("long") for k in draw_steps(replicates)])
-    rows = df.filter(F.col(value).isNotNull()).select(*group_cols, F.col(value).cast("double").alias("_v"), seed.alias("_seed"))
-    drawn = (rows.select("*", F.posexplode(steps).alias("_b", "_step"))
-             .select(*group_cols, "_b", "_v", (F.col("_seed") * F.col("_step") % PRIME).alias("_u")))
-    weight = sum((F.when(F.col("_u") >= cut, 1).otherwise(0) for cut in poisson_cuts()), F.lit(0))
-    sums = (drawn.select(*group_cols, "_b", "_v", weight.alias("_w"))
+    rows = (df.filter(F.col(value).isNotNull())
+            .select(*dict.fromkeys([*group_cols, *key_cols]), F.col(value).cast("double").alias("_v"))
+            .repartitionByRange(*dict.fromkeys([*group_cols, *key_cols])).sortWithinPartitions(*group_cols)
+            .select(*group_cols, "_v", seed.alias("_seed")))
+    schema = T.StructType([rows.schema[c] for c in group_cols]).add("_total", T.ArrayType(T.DoubleType())).add(
+        "_weights", T.ArrayType(T.LongType())).add("_sum", "double").add("_rows", "long")
+    partial = rows.mapInPandas(_replicate_sums(group_cols, replicates), schema)
+    sums = (partial.select(*group_cols, "_sum", "_rows", F.posexplode(F.arrays_zip("_total", "_weights")).alias("_b", "_x"))
             .groupBy(*group_cols, "_b").agg(
-                F.sum(F.col("_v") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"),
-                F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_rows")))
+                F.sum("_x._total").alias("_s"), F.sum("_x._weights").alias("_n"),
+                (F.sum("_sum") / F.sum("_rows")).alias("_mean"), F.sum("_rows").alias("_rows")))
     tail = (1 - level) / 2
     means = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
     return sums.groupBy(*group_cols).agg(

@@ -288,3 +288,25 @@ def test_scores_carry_only_what_is_asked_for(spark):
     assert set(full.columns) == {"id", "t", "a", "b", "iforest_score", "is_anomaly"}
     assert set(some.columns) == {"id", "iforest_score", "is_anomaly"}
     assert sorted(some.collect()) == sorted(full.select(*some.columns).collect())
+
+
+def test_bootstrap_sums_are_not_exploded(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"g{int(g)}" if g else None, i, float(v)) for i, (g, v) in
+            enumerate(zip(rng.integers(0, 6, 900), rng.integers(0, 50, 900)))]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    out = kpi.bootstrap_interval(df, ["g"], "v", ["g", "k"])
+    assert "MapInPandas" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: r for r in out.collect()}
+    key = F.concat_ws(":", F.coalesce("g", F.lit("")), F.col("k").cast("string"))
+    seeds = df.select("g", "v", (F.conv(F.substr(F.sha2(key, 256), F.lit(1), F.lit(8)), 16, 10).cast("long")
+                                 % (kpi.PRIME - 1) + 1).alias("s")).collect()
+    for g, r in got.items():
+        w = np.array([[sum(x.s * a % kpi.PRIME >= c for c in kpi.poisson_cuts()) for a in kpi.draw_steps()]
+                      for x in seeds if x.g == g])
+        v = np.array([x.v for x in seeds if x.g == g])
+        means = (v[:, None] * w).sum(axis=0) / w.sum(axis=0)
+        assert r.n == len(v) and abs(r.mean - v.mean()) < 1e-12
+        assert np.allclose([r.lower, r.upper], np.percentile(means, [2.5, 97.5]), atol=1e-12)
+    monkeypatch.setattr(kpi, "BOOT_ROWS", 7)
+    assert {r.g: r for r in kpi.bootstrap_interval(df.repartition(7), ["g"], "v", ["g", "k"]).collect()} == got
