@@ -115,3 +115,17 @@ def test_tenant_records(spark, fx):
         else:       # four rows are too few, and the rest have none
             assert (r.prediction, r.confidence, r.anomalies_detected, r.feature_importance) == (0, 0, 0, {})
             assert r.risk_level == "Low" and r.recommendations == []
+
+
+def test_bins_are_the_edges_below_without_a_lambda(spark):
+    rows = [("p", float(i % 9), i / 7 - 3 if i % 6 else None) for i in range(60)] + [("q", 2.0, float("nan")), ("q", 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "grp string, a double, b double")
+    for method in ("width", "quantile"):
+        at = df.join(trees.bin_edges(df, ["a", "b"], "grp", 8, method), "grp")
+
+        def below(k, c):
+            return F.coalesce(F.size(F.filter(F.col("edges")[k], lambda e: e < F.col(c))), F.lit(0))
+        bins = at.select(trees.binned(at, ["a", "b"]).alias("x"))
+        assert "lambda" not in bins._jdf.queryExecution().analyzed().toString().split("Aggregate")[0]
+        both = at.select(trees.binned(at, ["a", "b"]).alias("x"), F.array(below(0, "a"), below(1, "b")).alias("y")).collect()
+        assert len(both) == len(rows) and all(list(r.x) == list(r.y) for r in both)
