@@ -310,3 +310,13 @@ def test_bootstrap_sums_are_not_exploded(spark, monkeypatch):
         assert np.allclose([r.lower, r.upper], np.percentile(means, [2.5, 97.5]), atol=1e-12)
     monkeypatch.setattr(kpi, "BOOT_ROWS", 7)
     assert {r.g: r for r in kpi.bootstrap_interval(df.repartition(7), ["g"], "v", ["g", "k"]).collect()} == got
+
+
+def test_a_window_of_nulls_has_a_null_mean(spark, monkeypatch):
+    df = spark.createDataFrame([("A", dt.date(2024, 1, d), d, None if d < 5 else 2.0) for d in range(1, 8)],
+                               "m string, production_date date, k int, v double")
+    want = [None] * 4 + [2.0] * 3
+    for limit in (100, 3):
+        monkeypatch.setattr(windows, "HOT_BLOCK_ROWS", limit)
+        got = windows.trailing_means(df, ["m"], ["production_date", "k"], {"ma": "v"}, 3).orderBy("k").collect()
+        assert [r.ma for r in got] == want
