@@ -320,3 +320,18 @@ def test_a_window_of_nulls_has_a_null_mean(spark, monkeypatch):
         monkeypatch.setattr(windows, "HOT_BLOCK_ROWS", limit)
         got = windows.trailing_means(df, ["m"], ["production_date", "k"], {"ma": "v"}, 3).orderBy("k").collect()
         assert [r.ma for r in got] == want
+
+
+def test_features_are_derived_after_the_rows_have_moved(spark):
+    df = spark.createDataFrame([("A", dt.date(2024, 1, d), d, float(d), 1.0, None if d == 4 else 2.0 * d) for d in range(1, 8)],
+                               "m string, production_date date, k int, units_produced double, defective_units double, downtime_min double")
+    out = ml.features(df, ["m"], ["production_date", "k"])
+    assert out.columns == [*df.columns, "defect_rate", "quality_score", "production_efficiency", "units_ma3", "defects_ma3", "downtime_trend"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("Window [")
+    # neither ratios in the shuffle nor sliding frames, which are summed anew for every row
+    assert "defect_rate" in plan[:window] and "defect_rate" not in plan[window:] and "avg(" not in plan
+    got = {r.k: r for r in out.collect()}
+    assert [got[k].units_ma3 for k in (1, 2, 3, 7)] == [1.0, 1.5, 2.0, 6.0]
+    assert [got[k].downtime_trend for k in (3, 4, 5, 6)] == [4.0, 5.0, 8.0, 11.0]
+    assert got[3].defect_rate == 0.25 and got[3].production_efficiency == 3 / 7 and got[4].production_efficiency == 0.0
