@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import giving_back, materialize
 from .textscan import ALNUM, scan
 
 #: Words a window holds.
@@ -50,6 +50,7 @@ MATCHES = ("shard string, place int, items array<string>, "
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index: one row per shard of ``docs`` (doc_id, text)."""
+    @giving_back
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
         for b in batches:
@@ -231,6 +232,7 @@ def term_counts(index: DataFrame, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(terms of the windows that occur, in order; how often in the whole index)."""
     sent = index.sparkSession.sparkContext.broadcast(np.unique(w.terms))
 
+    @giving_back
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = sent.value
         total = np.zeros(len(wanted), dtype=np.int64)
@@ -259,6 +261,7 @@ def search(index: DataFrame, items: DataFrame, size: int = WINDOW, near: int = 2
         w.rank(*term_counts(index, w))
         sent = index.sparkSession.sparkContext.broadcast(w)
 
+        @giving_back
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for row in b.itertuples(index=False):

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import give_back, giving_back, materialize, small_side
 from .graph import connected_components
 from .textscan import NON_SPACE, mix, scan
 
@@ -92,6 +92,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+@giving_back
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, keys = b["doc_id"].astype("Int64"), b["text_key"]
@@ -106,6 +107,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "sig": [x.tobytes() for x in sig], "bands": list(bands)})
 
 
+@giving_back
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for _, _, s in scan(b["text"].tolist(), NON_SPACE):
@@ -221,6 +223,7 @@ def _prune_bin(t: Fraction, tolerance: float):
             root = roots(len(node), a, b)
             at = np.flatnonzero(root != np.arange(len(node)))
             out.append(pd.DataFrame({"a": node[at], "b": node[root[at]]}))
+        give_back()
         return pd.concat(out).drop_duplicates()
     return run
 
@@ -248,6 +251,7 @@ def _verify_bin(t: Fraction, tolerance: float):
             root = roots(len(node), a, b)
             at = np.flatnonzero(links)
             out.append(pd.DataFrame({"node": node[at], "links": links[at], "root": node[root[at]]}))
+        give_back()
         return pd.concat(out)
     return run
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, sum_arrays
+from .common import giving_back, materialize, small_side, sum_arrays
 from .textscan import NON_SPACE, mix, scan
 
 HASHED = 64
@@ -93,6 +93,7 @@ def text_features(texts: list) -> np.ndarray:
     return out
 
 
+@giving_back
 def _scan_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         x = text_features(b["text"].tolist())
@@ -153,6 +154,7 @@ def _p(z: np.ndarray) -> np.ndarray:
 
 def _sums(rows: DataFrame, size: int, add) -> np.ndarray:
     """Sum of ``add(batch)`` (``size`` numbers) over all batches of ``rows``."""
+    @giving_back
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for b in batches:
@@ -263,6 +265,7 @@ def score(docs: DataFrame, labels: DataFrame, pages: DataFrame, rounds: int = 3,
                            F.lit(model).alias("score"), F.lit(True).alias("kept"))
     betas, mixer, cut = model
 
+    @giving_back
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             z = _logits(b, betas)

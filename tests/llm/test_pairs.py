@@ -190,3 +190,25 @@ def test_recall_on_the_given_table(spark):
     got = neardup.link(spark.createDataFrame(rows, VECS)).collect()
     found, true = sum(r.n_links for r in got), sum(want.values())
     assert true > 300 and found <= true and found / true >= 0.97
+
+
+def test_a_task_returns_its_freed_memory():
+    # blocks that outlive the task lie above the freed ones
+    from millrace.llm.common import giving_back
+    kept = []
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    @giving_back
+    def part(batches):
+        for b in batches:
+            held = [bytes(2000) for _ in range(60_000)]
+            kept.append([bytes(2000) for _ in range(10)])
+            assert resident() > before + 80 and held
+            yield b
+
+    before = resident()
+    assert list(part(iter([1]))) == [1]
+    assert resident() < before + 40
