@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, giving_back, materialize, small_side
 from .graph import connected_components
-from .textscan import NON_SPACE, mix, scan
+from .textscan import NON_SPACE, SMALL_SLICE_BYTES, mix, scan
 
 WORDS = 5
 BANDS, ROWS = 24, 4
@@ -96,7 +96,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, keys = b["doc_id"].astype("Int64"), b["text_key"]
-        for lo, hi, s in scan(b["text"].tolist(), NON_SPACE):
+        for lo, hi, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=SMALL_SLICE_BYTES):
             sh = Shingled(s)
             sig = sh.signatures()
             bands = _bands(sig)
@@ -110,7 +110,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @giving_back
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for _, _, s in scan(b["text"].tolist(), NON_SPACE):
+        for _, _, s in scan(b["text"].tolist(), NON_SPACE, run_bytes=SMALL_SLICE_BYTES):
             sh = Shingled(s)
             sig = sh.signatures()
             at = np.flatnonzero(sh.some)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import giving_back, materialize, small_side, sum_arrays
-from .textscan import NON_SPACE, mix, scan
+from .textscan import NON_SPACE, SMALL_SLICE_BYTES, mix, scan
 
 HASHED = 64
 
@@ -60,7 +60,7 @@ TEXT_DIM = N_KINDS + 10 + HASHED
 def text_features(texts: list) -> np.ndarray:
     """One row of TEXT_DIM numbers for each whole text."""
     out = np.zeros((len(texts), TEXT_DIM), dtype=np.float32)
-    for lo, hi, s in scan(texts, NON_SPACE, lower=False):
+    for lo, hi, s in scan(texts, NON_SPACE, lower=False, run_bytes=SMALL_SLICE_BYTES):
         m = hi - lo
         raw = np.frombuffer(s.data, np.uint8)
         text_end = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 if isinstance(t, str) else 1

@@ -68,3 +68,16 @@ def test_long_names_that_end_alike_get_cells_of_their_own():
     names = pd.Series([f"archive-{i:02d}/common-section-name" for i in range(60)] + [None])
     # nearly all cells are in use; by their ends alone the names would share one
     assert len(set(quality._cells(names, 0).tolist())) > quality.META_HASHED // 2
+
+
+def test_features_of_many_texts_need_little_memory_at_once():
+    import tracemalloc
+    texts = [prose(1_500, i) for i in range(300)]  # about 3 MB
+    quality.text_features(texts)
+    tracemalloc.start()
+    got = quality.text_features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    # a text's features do not depend on the others of its slice
+    assert all((quality.text_features([texts[i]])[0] == got[i]).all() for i in (0, 150, 299))
