@@ -81,6 +81,48 @@ def test_gradient_matches_differences():
         assert abs((loss(flat + step) - loss(flat - step)) / 2e-3 - g[i]) < 2e-3
 
 
+def wide_model():
+    # head and tail of more outputs than one level takes
+    counts = np.zeros(lm.END + 1)
+    counts[:2000] = np.arange(2000, 0, -1)
+    return lm.Model(counts, 400, 4, 3, 1, 100, np.arange(lm.END + 1)[::-1])
+
+
+def test_a_state_meets_few_outputs():
+    m = wide_model()
+    most = max(np.prod(m.shapes[n][1:]) if len(m.shapes[n]) == 2 else m.shapes[n][2] for n in m.shapes if n.startswith("o"))
+    assert most <= 2 * 400 ** 0.5
+
+
+def test_probabilities_of_two_levels_add_up():
+    m = wide_model()
+    x = np.random.default_rng(5).integers(0, 400, (1, 6))
+    each = [m.log_prob(m.flat, x, np.full((1, 3), k))[0] for k in range(400)]
+    assert np.abs(np.exp(np.array(each, float)).sum(0) - 1).max() < 1e-4
+
+
+def test_gradient_of_two_levels_matches_differences():
+    m, rng = wide_model(), np.random.default_rng(6)
+    x, y, used = rng.integers(0, 400, (9, 6)), rng.integers(0, 400, (9, 3)), rng.random((9, 3)) < 0.8
+    flat = m.flat.astype(np.float64)
+
+    def loss(f):
+        return -(m.log_prob(f, x, y) * used).sum() / used.sum()
+
+    g = m.gradient(flat, x, y, used)
+    for i in np.argsort(-np.abs(g))[:300:8]:
+        step = np.zeros_like(flat)
+        step[i] = 1e-2
+        assert abs((loss(flat + step) - loss(flat - step)) / 2e-2 - g[i]) < 2e-3
+
+
+def test_targets_of_one_kind_or_none_have_a_gradient():
+    m, x = wide_model(), np.full((2, 6), 7)
+    for y in (0, 399):
+        assert np.isfinite(m.gradient(m.flat, x, np.full((2, 3), y), np.ones((2, 3), bool))).all()
+    assert not m.gradient(m.flat, x, np.zeros((2, 3), int), np.zeros((2, 3), bool)).any()
+
+
 def test_ids_have_a_distribution():
     m = model()
     rest = m.symbol == m.k - 1
